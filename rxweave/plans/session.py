@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +66,32 @@ def semi_join_checked(big: DataFrame, keys: DataFrame, on: list[str], limit_rows
     else:
         small = small.hint("merge")
     return big.join(small, on, "left_semi")
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written once as parquet to a fresh folder in the shared checkpoint folder, and read from there.
+
+    Like a checkpoint it cuts the lineage and outlives executors; unlike one it is compressed, column-pruned when
+    read again, and gives the planner true sizes. The folders are removed when Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may be gone
+            pass
+
+
+atexit.register(_remove_written)
