@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_duplicates, records
+from . import near_duplicates, overlap, records
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,35 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.expand_pairs(pairs, members)
 
 
+def _split_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = records.one_per_id(records.description_records(spark, sf_dir))
+    return overlap.expand(*overlap.cross_split(texts))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _split_overlaps(spark, sf_dir)
+    return pairs.select(F.least("train_id", "eval_id").alias("text_id_a"), F.greatest("train_id", "eval_id").alias("text_id_b"))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and the tables of both records."""
+    source = records.one_per_id(records.description_records(spark, sf_dir)).select("text_id", "source")
+    return (
+        _split_overlaps(spark, sf_dir)
+        .join(source.select(F.col("text_id").alias("eval_id"), F.col("source").alias("eval_source")), "eval_id")
+        .join(source.select(F.col("text_id").alias("train_id"), F.col("source").alias("train_source")), "train_id")
+        .groupBy("eval_split", "eval_source", "train_source")
+        .agg(
+            F.count(F.lit(1)).alias("pairs"),
+            F.count_distinct("eval_id").alias("eval_records"),
+            F.count_distinct("train_id").alias("train_records"),
+            F.count_if(F.col("jaccard") == 1).alias("same_words"),
+        )
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p5_counts": p5_counts}
 
 
 def oracle_sql() -> dict[str, str]:
