@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.words import word_hashes
-from ..plans.session import checkpointed, semi_join_checked
+from ..plans.session import checkpointed, materialised, semi_join_checked
 from .minhash import least_matches, signatures
 
 BATCHES = (32, 64, 96, 128)
@@ -87,8 +87,8 @@ def similar_pairs(
     Chance to miss a pair: in the bands ``(1 - s**rows)**bands`` for similarity s (0.7 % at the threshold itself,
     below 0.1 % from 0.65 on, with the defaults for 0.6), and at most about ``miss`` in the Bayesian test.
     """
-    texts = texts.select(group, "text_id", "text")
-    members = classes(texts, [group])
+    texts = materialised(texts.select(group, "text_id", "text"))
+    members = materialised(classes(texts, [group]))
     reps = members.where("text_id = rep").select(group, "text_id")
     sketched = (
         texts.join(reps, [group, "text_id"], "left_semi")
