@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_duplicates, overlap, records
+from ..sources.tables import table
+from . import canonical, cooccurrence, near_duplicates, overlap, records
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +44,82 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _prescribed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    rows = table(spark, sf_dir, "keyword_smoke10").select("prescription_id", "drugs")
+    return cooccurrence.basket_items(rows, "prescription_id", "drugs"), rows.select("prescription_id").distinct().count()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, baskets = _prescribed(spark, sf_dir)
+    pairs = cooccurrence.associations(entries, baskets, least=max(5, -(-baskets // 200)))
+    often = F.col("together") * baskets >= 3 * F.col("n_a") * F.col("n_b")
+    return pairs.where(often).select(F.col("a").alias("drug_a"), F.col("b").alias("drug_b"))
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair in at least 5 prescriptions, with its association scores."""
+    entries, baskets = _prescribed(spark, sf_dir)
+    pairs = cooccurrence.associations(entries, baskets, least=5)
+    return pairs.select("a", "b", "together", "n_a", "n_b", *(F.round(c, 6).alias(c) for c in ("lift", "pmi", "npmi", "jaccard", "g2")))
+
+
+def _drug_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct ``prescription_id, entered`` that are neither blank nor a drug name letter for letter."""
+    own = table(spark, sf_dir, "keyword_smoke10").select("prescription_id", F.explode("drugs").alias("entered"))
+    missed = table(spark, sf_dir, "detailed_results").select("prescription_id", F.col("missed_drugs").alias("written")).where("written is not null and written != '[]'")
+    parsed = canonical.parse_lists(missed)
+    listed = missed.distinct().join(parsed, "written").select("prescription_id", F.explode("values").alias("entered"))
+    names = table(spark, sf_dir, "drug_reference").select(F.col("drug_name").alias("entered")).distinct()
+    rows = own.unionByName(listed).where(cooccurrence.trimmed(F.col("entered")) != "").where("prescription_id is not null")
+    return rows.join(names, "entered", "left_anti").select("prescription_id", "entered").distinct()
+
+
+def _drug_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drugs = table(spark, sf_dir, "drug_reference").select(F.col("drug_id").cast("bigint").alias("target"), "drug_name", "brand_names")
+    return drugs.select("target", F.col("drug_name").alias("surface")).unionByName(drugs.select("target", F.explode("brand_names").alias("surface")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _drug_entries(spark, sf_dir)
+    mapped = canonical.map_values(entries, _drug_surfaces(spark, sf_dir)).select("entered", "target")
+    return entries.join(mapped, "entered").select("prescription_id", "entered", F.coalesce("target", F.lit(-1)).cast("int").alias("drug_id"))
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that belong to no entry of the list: how often they occur and the entry that came closest."""
+    entries = _drug_entries(spark, sf_dir)
+    mapped = canonical.map_values(entries, _drug_surfaces(spark, sf_dir)).where("target is null")
+    counts = entries.groupBy("entered").agg(F.count(F.lit(1)).alias("prescriptions"))
+    return counts.join(mapped, "entered").select("entered", "prescriptions", F.col("first").cast("int").alias("closest_drug_id"), F.round("score", 4).alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p5_found": p5_found, "p5_counts": p5_counts}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_pairs, p4_found, p4_unmatched, p5_found, p5_counts)}
+
+
+SPACES = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}\x{FEFF}]"
+ENTRIES = f"""entries AS (
+    SELECT DISTINCT prescription_id AS basket, lower(regexp_replace(d, '^{SPACES}+|{SPACES}+$', '', 'g')) AS item
+    FROM (SELECT prescription_id, unnest(drugs) AS d FROM keyword_smoke10) WHERE d IS NOT NULL AND prescription_id IS NOT NULL
+), kept AS (SELECT * FROM entries WHERE item <> ''),
+total AS (SELECT count(DISTINCT prescription_id) AS n FROM keyword_smoke10),
+singles AS (SELECT item, count(*) AS n FROM kept GROUP BY item),
+pairs AS (SELECT x.item AS a, y.item AS b, count(*) AS together FROM kept x JOIN kept y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2)"""
+P3_FOUND = f"""WITH {ENTRIES}
+SELECT a AS drug_a, b AS drug_b FROM pairs JOIN singles p ON p.item = a JOIN singles q ON q.item = b, total
+WHERE together >= 5 AND together * 200 >= total.n AND together * total.n >= 3 * p.n * q.n"""
+P3_PAIRS = f"""WITH {ENTRIES}, t AS (
+    SELECT a, b, together, p.n AS n_a, q.n AS n_b, together::DOUBLE AS n11, p.n::DOUBLE AS na, q.n::DOUBLE AS nb, total.n::DOUBLE AS n
+    FROM pairs JOIN singles p ON p.item = a JOIN singles q ON q.item = b, total WHERE together >= 5)
+SELECT a, b, together, n_a, n_b, round(n11 * n / (na * nb), 6) AS lift, round(ln(n11 * n / (na * nb)), 6) AS pmi,
+    round(CASE WHEN n11 < n THEN ln(n11 * n / (na * nb)) / -ln(n11 / n) ELSE 1.0 END, 6) AS npmi,
+    round(n11 / (na + nb - n11), 6) AS jaccard,
+    round(2 * (n11 * ln(n11 / (na * nb / n))
+        + CASE WHEN na - n11 > 0 THEN (na - n11) * ln((na - n11) / (na * (n - nb) / n)) ELSE 0.0 END
+        + CASE WHEN nb - n11 > 0 THEN (nb - n11) * ln((nb - n11) / ((n - na) * nb / n)) ELSE 0.0 END
+        + CASE WHEN n - na - nb + n11 > 0 THEN (n - na - nb + n11) * ln((n - na - nb + n11) / ((n - na) * (n - nb) / n)) ELSE 0.0 END), 6) AS g2
+FROM t"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_FOUND, "p3_pairs": P3_PAIRS}
