@@ -21,7 +21,9 @@ from ..functions.words import word_hashes
 from ..plans.session import checkpointed, materialised, semi_join_checked
 from .minhash import least_matches, signatures
 
-BATCHES = (32, 64, 96, 128)
+#: Bits compared after each batch: the first four batches travel with the band keys, the others are fetched for survivors.
+BATCHES = (32, 64, 96, 128, 160, 192, 224, 256)
+WORDS = ("s1", "s2", "s3", "s4")
 
 
 def with_sets(texts: DataFrame) -> DataFrame:
@@ -50,26 +52,27 @@ def _sketched(bands: int, rows: int, bits: int, seed: int):
             keys ^= salt[:, None]
             offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
             columns = [batch.column("text_id"), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))]
-            columns += [pa.array(sketch[:, k].view(np.int64)) for k in range(bits // 64)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "keys", "s1", "s2"])
+            columns += [pa.array(sketch[:, k].copy().view(np.int64)) for k in range(bits // 64)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "keys", *WORDS])
 
     return run
 
 
-def _survives(threshold: float, miss: float) -> Column:
-    """The sequential test over the signature batches, cheapest first."""
+def _survives(threshold: float, miss: float, first: int, last: int) -> Column:
+    """The sequential test over the signature words ``first`` to ``last`` of a pair, cheapest batch first.
+
+    The number of bits in which the earlier words differ is the column ``differing`` when ``first`` is not 0.
+    """
     low = F.lit(0xFFFFFFFF).cast("bigint")
-    first = F.col("a.s1").bitwiseXOR(F.col("b.s1"))
-    second = F.col("a.s2").bitwiseXOR(F.col("b.s2"))
-    differing = [
-        F.bit_count(first.bitwiseAND(low)),
-        F.bit_count(first),
-        F.bit_count(first) + F.bit_count(second.bitwiseAND(low)),
-        F.bit_count(first) + F.bit_count(second),
-    ]
+    before = F.lit(0) if first == 0 else F.col("differing")
+    least = dict(zip(BATCHES, least_matches(threshold, BATCHES, miss)))
     test = F.lit(True)
-    for n, least, d in zip(BATCHES, least_matches(threshold, BATCHES, miss), differing):
-        test = test & (d <= n - least)
+    for k in range(first, last):
+        differ = F.col(f"a.{WORDS[k]}").bitwiseXOR(F.col(f"b.{WORDS[k]}"))
+        half, full = 64 * k + 32, 64 * k + 64
+        test = test & (before + F.bit_count(differ.bitwiseAND(low)) <= half - least[half])
+        before = before + F.bit_count(differ)
+        test = test & (before <= full - least[full])
     return test
 
 
@@ -90,19 +93,26 @@ def similar_pairs(
     texts = materialised(texts.select(group, "text_id", "text"))
     members = materialised(classes(texts, [group]))
     reps = members.where("text_id = rep").select(group, "text_id")
-    sketched = (
+    sketched = materialised(
         texts.join(reps, [group, "text_id"], "left_semi")
         .select("text_id", F.xxhash64(group).alias("salt"), word_hashes(F.col("text")).alias("h"))
         .where(F.size("h") > 0)
-        .mapInArrow(_sketched(bands, rows, 128, seed), "id bigint, keys array<bigint>, s1 bigint, s2 bigint")
+        .mapInArrow(_sketched(bands, rows, 64 * len(WORDS), seed), "id bigint, keys array<bigint>, " + ", ".join(f"{w} bigint" for w in WORDS))
     )
     banded = sketched.select("id", "s1", "s2", F.explode("keys").alias("key"))
-    found = (
+    first = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
+    met = (
         banded.alias("a")
-        .join(banded.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _survives(threshold, miss))
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        .join(banded.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _survives(threshold, miss, 0, 2))
+        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), first.alias("differing"))
         .distinct()
     )
+    rest = sketched.select("id", *WORDS[2:])
+    found = (
+        met.join(rest.alias("a"), F.col("a") == F.col("a.id"))
+        .join(rest.alias("b"), (F.col("b") == F.col("b.id")) & _survives(threshold, miss, 2, 4))
+        .select(met.a, met.b)
+    )
     found = checkpointed(found)
     ids = checkpointed(found.select(F.explode(F.array("a", "b")).alias("text_id")).distinct())
     sets = semi_join_checked(texts, ids, ["text_id"]).select(group, "text_id", word_hashes(F.col("text")).alias("h"))
