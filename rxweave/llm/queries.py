@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, cooccurrence, near_duplicates, overlap, records
+from . import canonical, consensus, cooccurrence, near_duplicates, overlap, records
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,27 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``item, annotator, label`` of every vote; a repeated row counts once."""
+    rows = table(spark, sf_dir, "conflicts").select("id", "round_no", "agentA", "agentB", "annotator_a", "annotator_b").distinct()
+    pairs = F.array(F.struct(F.col("annotator_a").alias("annotator"), F.col("agentA").alias("written")), F.struct(F.col("annotator_b").alias("annotator"), F.col("agentB").alias("written")))
+    return rows.select(F.col("id").alias("item"), F.explode(pairs).alias("v")).select("item", "v.annotator", consensus.read_label(F.col("v.written")).alias("label"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, _ = consensus.consensus(_votes(spark, sf_dir))
+    return items.select(F.col("item").alias("id"), F.col("label").alias("severity"))
+
+
+def p2_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.consensus(_votes(spark, sf_dir))[1]
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = consensus.agreement(_votes(spark, sf_dir))
+    return got.select("items", "votes", F.round("agreeing_share", 6).alias("agreeing_share"), F.round("alpha", 6).alias("alpha"))
+
+
 def _prescribed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     rows = table(spark, sf_dir, "keyword_smoke10").select("prescription_id", "drugs")
     return cooccurrence.basket_items(rows, "prescription_id", "drugs"), rows.select("prescription_id").distinct().count()
@@ -94,7 +115,7 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_pairs, p4_found, p4_unmatched, p5_found, p5_counts)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_pairs, p4_found, p4_unmatched, p5_found, p5_counts)}
 
 
 SPACES = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}\x{FEFF}]"
@@ -121,5 +142,16 @@ SELECT a, b, together, n_a, n_b, round(n11 * n / (na * nb), 6) AS lift, round(ln
 FROM t"""
 
 
+P2_AGREEMENT = """WITH rounds AS (SELECT DISTINCT id, round_no, agentA, agentB, annotator_a, annotator_b FROM conflicts WHERE id IS NOT NULL),
+spelt AS (SELECT id, lower(regexp_replace(w, '[^A-Za-z]', '', 'g')) AS w FROM (SELECT id, agentA AS w FROM rounds UNION ALL SELECT id, agentB FROM rounds)),
+votes AS (SELECT id, CASE WHEN w LIKE 'mi%' OR w = 'mld' THEN 'Mild' WHEN w LIKE 'mo%' THEN 'Moderate' WHEN w LIKE 'se%' THEN 'Severe' END AS label FROM spelt),
+per AS (SELECT id, label, count(*)::DOUBLE AS n FROM votes WHERE label IS NOT NULL GROUP BY 1, 2),
+items AS (SELECT id, sum(n) AS m, sum(n * (n - 1)) AS same FROM per GROUP BY id HAVING sum(n) >= 2),
+seen AS (SELECT count(*) AS items, sum(m) AS total, sum(same / (m - 1)) AS o FROM items),
+shares AS (SELECT label, sum(n) AS n FROM per WHERE id IN (SELECT id FROM items) GROUP BY label),
+chance AS (SELECT sum(n * (n - 1)) AS e FROM shares)
+SELECT items, total::BIGINT AS votes, round(o / total, 6) AS agreeing_share, round((o / total - e / (total * (total - 1))) / (1 - e / (total * (total - 1))), 6) AS alpha FROM seen, chance"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p3_pairs": P3_PAIRS}
+    return {"p2_agreement": P2_AGREEMENT, "p3_found": P3_FOUND, "p3_pairs": P3_PAIRS}
