@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, consensus, cooccurrence, near_duplicates, overlap, records
+from . import canonical, consensus, cooccurrence, leakage, near_duplicates, overlap, records, residue, tokenize
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +114,36 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(mapped, "entered").select("entered", "prescriptions", F.col("first").cast("int").alias("closest_drug_id"), F.round("score", 4).alias("score"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.encode_corpus(table(spark, sf_dir, "documents"), *tokenize.tokenizer_file())
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items")).select("doc_id", "item_id")
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of every document: kept, stripped of leaked spans, or dropped."""
+    made = leakage.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
+    return made.select("doc_id", "action", F.round("coverage", 6).alias("coverage"), "spans", F.length("text").alias("chars_left"))
+
+
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents").withColumnRenamed("source", "host"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residue(spark, sf_dir).select("doc_id")
+
+
+def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excluded documents per source and reason."""
+    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return _residue(spark, sf_dir).join(sources, "doc_id").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_pairs, p4_found, p4_unmatched, p5_found, p5_counts)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_pairs, p4_found, p4_unmatched, p5_found, p5_counts, p6_ids, p7_found, p7_clean, p8_found, p8_reasons)}
 
 
 SPACES = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}\x{FEFF}]"
