@@ -30,6 +30,20 @@ JUNK = (r"^ns(-|%| )?", r"[%\[\(/:+]", r"stayhappi")
 CAS_NUMBER = r"\d{5,}-\d{2}-\d"
 
 
+# White space of any kind, as a character class.
+SPACES = r"[\s\p{Z}]"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, f"^{SPACES}+|{SPACES}+$", "")
+
+
+def name_key(text: Column) -> Column:
+    """A name for comparison: stripped and lower-cased."""
+    return F.lower(stripped(text))
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -90,14 +104,16 @@ def clean_entity_text(text: Column) -> Column:
 
 
 def entity_tag(group: Column) -> Column:
-    """One of six labels for a model's tag; unknown tags keep their cleaned spelling."""
+    """A stable label for a model's tag, by what the tag contains; other tags keep their cleaned spelling."""
     tag = F.regexp_replace(F.trim(F.upper(group)), "^[BI]-", "")
     return (
         F.when(F.coalesce(group, F.lit("")) == "", "UNKNOWN")
         .when(tag.rlike("DRUG|CHEM|MED|^TREATMENT$"), "MEDICATION")
-        .when(tag.rlike("DOS|STRENGTH"), "DOSAGE")
-        .when(tag.rlike("FREQ|DURATION"), "FREQUENCY")
-        .when(tag.rlike("DISEASE|CONDITION|PROBLEM|DISORDER"), "CONDITION")
+        .when(tag.contains("DOSE"), "DOSAGE")
+        .when(tag.contains("FREQ"), "FREQUENCY")
+        .when(tag.contains("DUR"), "DURATION")
+        .when(tag.contains("ROUTE"), "ROUTE")
+        .when(tag.rlike("DISEASE|CONDITION|SYMPTOM"), "CONDITION")
         .otherwise(tag)
     )
 
@@ -160,13 +176,17 @@ def quota_exhausted(error: Column) -> Column:
 
 
 def short_model_name(name: Column) -> Column:
-    """The last part of a model path without its common affixes."""
+    """The last part of a model path, its well-known affixes shortened."""
     last = F.element_at(F.split(name, "/"), -1)
-    return F.regexp_replace(last, r"(?i)[-_](embedding|instruct|base|v\d+(\.\d+)?)", "")
+    # Affixes and what they become.
+    shorter = (("granite-embedding-", "granite-"), ("embeddinggemma", "gemma"), ("-from-PubMedBERT-fulltext", ""))
+    for long, short in shorter:
+        last = F.replace(last, F.lit(long), F.lit(short))
+    return last
 
 
 def out_of_memory(text: Column) -> Column:
-    return F.coalesce(F.lower(text).rlike("out of memory|outofmemory|cuda oom|cublas_status_alloc_failed"), F.lit(False))
+    return F.coalesce(F.lower(text).rlike("out of memory|outofmemoryerror|cudaerrormemoryallocation"), F.lit(False))
 
 
 def strip_fences(text: Column) -> Column:
@@ -175,7 +195,7 @@ def strip_fences(text: Column) -> Column:
 
 
 def pair_name(name: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    return name_key(F.coalesce(name, F.lit("")))
 
 
 def replace_all(text: Column, pairs: Column) -> Column:
