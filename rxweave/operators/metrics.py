@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..plans.prefix import running_totals
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -58,22 +59,17 @@ def score_counts(rows: DataFrame, score: str, positive: Column) -> DataFrame:
 
 
 def roc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
-    """``threshold, tp, fp, tpr, fpr`` for every distinct score, the highest first.
-
-    The running sums need one order of all distinct scores; rows are brought to one per score before that.
-    """
+    """``threshold, tp, fp, tpr, fpr`` for every distinct score; rows are brought to one per score first."""
     counts = score_counts(rows, score, positive)
     total = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.select("score", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    run = running_totals(counts, "score", {"tp": "pos", "fp": "neg"}, descending=True)
     return run.crossJoin(F.broadcast(total)).select(F.col("score").alias("threshold"), "tp", "fp", ratio(F.col("tp"), F.col("P")).alias("tpr"), ratio(F.col("fp"), F.col("N")).alias("fpr"))
 
 
 def auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
     """One row ``auc``: the chance that a positive outscores a negative, ties half; 0.5 with one class only."""
     counts = score_counts(rows, score, positive)
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.select("pos", "neg", F.coalesce(F.sum("neg").over(w), F.lit(0)).alias("below"))
+    below = running_totals(counts, "score", {"below": "neg"}, inclusive=False)
     agg = below.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return agg.select(F.coalesce(F.try_divide("wins", (F.col("P") * F.col("N")).cast("double")), F.lit(0.5)).alias("auc"))
 
