@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lexicon, metrics, pairs, severity, text  # noqa: F401
+from . import lexicon, matching, metrics, pairs, severity, text  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
