@@ -12,18 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, all columns of a row at once in the bits of one integer."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    everything = (1 << len(b)) - 1
+    free = everything
+    for x in a:
+        hit = free & places.get(x, 0)
+        free = (free + hit | free - hit) & everything
+    return len(b) - free.bit_count()
+
+
 def _indel(a: str, b: str) -> float:
     """200 * longest common subsequence / (len(a) + len(b))."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        previous = 0
-        for j, y in enumerate(b, 1):
-            kept = row[j]
-            row[j] = previous + 1 if x == y else max(row[j], row[j - 1])
-            previous = kept
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * _common(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
 def _token_sort(a: str, b: str) -> float:
@@ -55,6 +59,8 @@ def weighted_ratio(a: str, b: str) -> float:
         return 0.0
     plain = _indel(a, b)
     ratio = max(len(a), len(b)) / min(len(a), len(b))
+    if ratio < 1.5 and " " not in a and " " not in b:  # one token each: the token scores are the plain one
+        return plain
     if ratio < 1.5:
         return max(plain, 0.95 * max(_token_sort(a, b), _token_set(a, b)))
     scale = 0.9 if ratio <= 8 else 0.6

@@ -47,16 +47,20 @@ def trigrams(text: Column) -> Column:
 
 
 def blocked(left: DataFrame, right: DataFrame, least_ratio: float) -> DataFrame:
-    """``l, r``: pairs that share a letter pair and whose lengths allow an indel ratio of ``least_ratio``.
+    """``l, r``: pairs whose lengths and shared letter pairs allow an indel ratio of ``least_ratio``.
 
-    A ratio of t needs ``2 * min(len) >= t * (len(l) + len(r))``. Of the letter pairs of a string of n letters at most
-    ``2 * edits`` are touched by its edits, so with t of 0.75 or more and strings of 8 letters or more one is shared.
+    A ratio of t needs ``2 * min(len) >= t * (len(l) + len(r))`` and leaves room for ``(1 - t) * (len(l) + len(r))``
+    edits, each of which touches two letter pairs at most; so many of the distinct letter pairs of ``l`` may be missing
+    in ``r``, and no more. One shared pair is needed in any case: for t of 0.75 or more and 8 letters or more, only
+    strings that share no two neighbouring letters at all are lost, which such a ratio hardly allows.
     """
     two = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
-    a = left.select("l", F.explode(two(F.col("l"))).alias("_g"))
+    a = left.select("l", two(F.col("l")).alias("_p")).select("l", F.size("_p").alias("_n"), F.explode("_p").alias("_g"))
     b = right.select("r", F.explode(two(F.col("r"))).alias("_g"))
-    fits = 2 * F.least(F.length("l"), F.length("r")) >= least_ratio * (F.length("l") + F.length("r"))
-    return a.join(b, "_g").where(fits).select("l", "r").distinct()
+    length = F.length("l") + F.length("r")
+    met = a.join(b, "_g").where(2 * F.least(F.length("l"), F.length("r")) >= least_ratio * length)
+    shared = met.groupBy("l", "r", "_n").agg(F.count(F.lit(1)).alias("_s"))
+    return shared.where(F.col("_s") >= F.col("_n") - 2 * F.floor((1 - least_ratio) * length + 1e-9)).select("l", "r")
 
 
 def top_cosine(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
