@@ -63,18 +63,31 @@ def blocked(left: DataFrame, right: DataFrame, least_ratio: float) -> DataFrame:
     return shared.where(F.col("_s") >= F.col("_n") - 2 * F.floor((1 - least_ratio) * length + 1e-9)).select("l", "r")
 
 
-def top_cosine(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """``q, id, score, rank``: the ``k`` nearest vectors of each query by cosine; ties by id.
+def cosines(queries: DataFrame, corpus: DataFrame, block: int = 1024) -> DataFrame:
+    """``q, <corpus columns>, score`` for every query and every vector of the corpus, which is a stated query set against all rows.
 
-    ``queries``: ``q, vec``; ``corpus``: ``id, vec``. All queries meet all vectors, in blocks of queries: only a block
-    is broadcast, and each partition keeps its own best ``k`` per query before anything is shuffled.
+    ``queries``: ``q, vec``; ``corpus``: ``vec`` and any columns. Queries are split by hash into blocks of about
+    ``block``; only a block is ever broadcast, so memory does not grow with the query set. Null vectors are left out, a
+    zero vector scores null.
     """
-    unit = lambda v: F.transform(v, lambda x: x / V.norm(v))
-    c = corpus.select("id", V.doubles("vec").alias("v")).select("id", unit(F.col("v")).alias("v"))
-    q = queries.select("q", V.doubles("vec").alias("w")).select("q", unit(F.col("w")).alias("w"))
-    scored = c.crossJoin(F.broadcast(q)).select("q", "id", V.dot(F.col("v"), F.col("w")).alias("score"))
+    unit = lambda v: F.transform(V.doubles(v), lambda x: x / V.norm(V.doubles(v)))
+    kept = [c for c in corpus.columns if c != "vec"]
+    c = corpus.where("vec is not null").select(*kept, unit(F.col("vec")).alias("_v"))
+    q = queries.where("vec is not null").select("q", unit(F.col("vec")).alias("_w"))
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for k in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k)
+        scored = c.crossJoin(F.broadcast(part)).select("q", *kept, V.dot(F.col("_v"), F.col("_w")).alias("score"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def top_cosine(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """``q, id, score, rank``: the ``k`` nearest vectors of each query; ties by id. Every partition keeps its own best
+    ``k`` per query before anything is shuffled."""
     w = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return cosines(queries, corpus.select("id", "vec"), block).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def tfidf(docs: DataFrame, least_df: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.prefix import running_totals
+from ..plans.session import literal_rows
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -14,7 +15,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def label_frame(df: DataFrame, labels: tuple[str, ...], name: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([(k, x) for k, x in enumerate(labels)], f"{name}_idx int, {name} string")
+    return literal_rows(df.sparkSession, **{name: list(labels)})
 
 
 def confusion(rows: DataFrame, truth: str, found: str, labels: tuple[str, ...]) -> DataFrame:
@@ -76,7 +77,7 @@ def auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
 
 def net_benefit(rows: DataFrame, score: str, positive: Column, thresholds: list[float]) -> DataFrame:
     """``threshold, n, tp, fp, net_benefit`` of acting on scores at or above each threshold."""
-    grid = rows.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
+    grid = literal_rows(rows.sparkSession, threshold=thresholds)
     counts = score_counts(rows, score, positive).crossJoin(F.broadcast(grid))
     above = F.col("score") >= F.col("threshold")
     agg = counts.groupBy("threshold").agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"))

@@ -68,6 +68,12 @@ def semi_join_checked(big: DataFrame, keys: DataFrame, on: list[str], limit_rows
     return big.join(small, on, "left_semi")
 
 
+def literal_rows(spark: SparkSession, **columns: list) -> DataFrame:
+    """A small table of literals, column by column: one partition, no Python behind it."""
+    rows = [F.struct(*(F.lit(v).alias(n) for n, v in zip(columns, row))) for row in zip(*columns.values())]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
+
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 

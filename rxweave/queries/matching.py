@@ -4,34 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions import similarity, vectors as V
+from ..functions import similarity
 from ..operators import matching as X
 from ..operators.pairs import flatten_index
 from ..sources.tables import table
 from .lexicon import generics, used_names, US
-from .pairs import kb_edges
+from .pairs import drug_pairs, kb_edges
 from .registry import query, r6
 
-VEC = "qv AS (SELECT vec_id AS q, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings WHERE label = 0), cv AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), cs AS (SELECT q, id, label, list_cosine_similarity(v, w) AS score FROM qv, cv)"
+VEC = "qv AS (SELECT vec_id AS q, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings WHERE vec_id % 20 = 0), cv AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), cs AS (SELECT q, id, label, list_cosine_similarity(v, w) AS score FROM qv, cv)"
 
 
 def queries_and_corpus(spark: SparkSession, d: str):
     e = table(spark, d, "embeddings")
-    return e.where("label = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
 
 
 @query(f"WITH {VEC} SELECT q, id, round(score, 6) AS score, (row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id))::INT AS rank FROM cs QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) <= 5")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest vectors of each vector of class 0: the class is the query set."""
+    """The five nearest vectors of every vector whose id is divisible by 20: the stated query set."""
     q, c = queries_and_corpus(spark, d)
     return X.top_cosine(q, c, 5).select("q", "id", r6("score").alias("score"), "rank")
 
 
 def concept_scores(spark: SparkSession, d: str) -> DataFrame:
     q, c = queries_and_corpus(spark, d)
-    pairs = c.select("label", V.doubles("vec").alias("v")).crossJoin(F.broadcast(q.select("q", V.doubles("vec").alias("w"))))
-    return pairs.select("q", F.col("label").alias("concept"), V.cosine(F.col("v"), F.col("w")).alias("score"))
+    return X.cosines(q, c).withColumnRenamed("label", "concept")
 
 
 @query(f"WITH {VEC} SELECT q, label AS concept, round(max(score), 6) AS score FROM cs GROUP BY q, label")
@@ -46,9 +46,7 @@ SELECT q, concept, round(score, 6) AS score, round(lead, 6) AS lead, lead >= 0.0
 )
 def pool_margin_rule(spark: SparkSession, d: str) -> DataFrame:
     """The best concept of each query, accepted with a lead of 0.03 over the next."""
-    q, c = queries_and_corpus(spark, d)
-    pairs = c.select("id", "label", V.doubles("vec").alias("v")).crossJoin(F.broadcast(q.select("q", V.doubles("vec").alias("w")))).where("q != id")
-    pooled = pairs.select("q", F.col("label").alias("concept"), V.cosine(F.col("v"), F.col("w")).alias("s")).groupBy("q", "concept").agg(F.max("s").alias("score"))
+    pooled = concept_scores(spark, d).where("q != id").groupBy("q", "concept").agg(F.max("score").alias("score"))
     best = X.margins(pooled, "q", "concept", "score")
     return best.select("q", "concept", r6("score").alias("score"), r6("lead").alias("lead"), (F.col("lead") >= 0.03).alias("accepted"))
 
@@ -72,8 +70,6 @@ def tfidf_query(spark: SparkSession, d: str) -> DataFrame:
     """The three names nearest to each name of the list, by its postings."""
     p = postings(spark, d)
     scores = p.select(F.col("doc").alias("q"), "gram", F.col("w").alias("wq")).join(p.select(F.col("doc").alias("concept"), "gram", "w"), "gram").where("q != concept").groupBy("q", "concept").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "concept")
     return scores.withColumn("_rn", F.row_number().over(w)).where("_rn <= 3").select("q", "concept", r6("score").alias("score"))
 
@@ -169,8 +165,6 @@ def gestalt_lookup(spark: SparkSession, d: str) -> DataFrame:
 def kb_target_similarity(spark: SparkSession, d: str) -> DataFrame:
     """The first edge, in list order, whose target resembles the second name of a pair at 0.85 or more."""
     index = flatten_index(kb_edges(spark, d)).where("key_kind = 'name'").select("src_key", F.lower("target").alias("tgt"), "pos")
-    from .pairs import drug_pairs
-
     pairs = drug_pairs(spark, d).select(F.lower("a").alias("a"), F.lower("b").alias("b")).distinct()
     met = pairs.join(index, F.col("a") == F.col("src_key")).where(2 * F.least(F.length("b"), F.length("tgt")) >= 0.85 * (F.length("b") + F.length("tgt")))
     scored = met.withColumn("score", similarity.gestalt("b", "tgt")).where("score >= 0.85")

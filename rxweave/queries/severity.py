@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import severity as S
 from ..operators import metrics as M
+from ..plans.session import literal_rows
 from ..sources.tables import table
 from .pairs import LABEL, RANK, keyword_sql
 from .registry import PR, SCORED, query, r6, rx, rx_pairs, scored
@@ -209,7 +210,7 @@ SELECT arg_min(t, (round(nll, 9), t)) AS temperature, round(min(nll), 6) AS nll
 )
 def temperature_grid(spark: SparkSession, d: str) -> DataFrame:
     """The temperature of 0.5 to 5 with the lowest mean negative log-likelihood."""
-    grid = spark.createDataFrame([(t,) for t in GRID], "t double")
+    grid = literal_rows(spark, t=GRID)
     rows = logits(spark, d).crossJoin(F.broadcast(grid))
     top = F.array_max("a")
     log_sum = F.ln(F.aggregate(F.transform("a", lambda x: F.exp((x - top) / F.col("t"))), F.lit(0.0), lambda s, x: s + x))
@@ -251,7 +252,7 @@ grid AS (SELECT (10 + 5 * i) / 100.0::DOUBLE AS tau FROM range(17) r(i)), cells
 @query(f"WITH {SWEEP} SELECT tau, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, fp::BIGINT AS overcalls, round(tp / (tp + fn), 6) AS sensitivity FROM cells ORDER BY round(2 * tp / (2 * tp + fp + fn), 9) DESC, fp, tp / (tp + fn) DESC, tau LIMIT 1")
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     """The gate threshold of 0.10 to 0.90 with the best F1, then the fewest overcalls, then the best sensitivity."""
-    grid = spark.createDataFrame([((10 + 5 * k) / 100,) for k in range(17)], "tau double")
+    grid = literal_rows(spark, tau=[(10 + 5 * k) / 100 for k in range(17)])
     severe = F.col("truth") == "Severe"
     called = F.col("gate_p") >= F.col("tau")
     cells = gate_scores(spark, d).crossJoin(F.broadcast(grid)).groupBy("tau").agg(F.count_if(called & severe).alias("tp"), F.count_if(called & ~severe).alias("fp"), F.count_if(~called & severe).alias("fn"))
