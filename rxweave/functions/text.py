@@ -167,7 +167,7 @@ def retry_delay(error: Column, default: float = 2.0) -> Column:
     named = F.regexp_extract(error, r"retryDelay['\"]?\s*:\s*['\"]([0-9]+(\.[0-9]+)?)s['\"]", 1)
     asked = F.regexp_extract(error, r"(?i)Please retry in\s+([0-9]+(\.[0-9]+)?)s", 1)
     found = F.coalesce(F.nullif(named, F.lit("")), F.nullif(asked, F.lit("")))
-    return F.coalesce(F.greatest(found.cast("double"), F.lit(0.2)), F.lit(default))
+    return F.when(found.isNotNull(), F.greatest(found.cast("double"), F.lit(0.2))).otherwise(default)
 
 
 def quota_exhausted(error: Column) -> Column:

@@ -230,7 +230,7 @@ ERRORS = "er AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'retryDelay: \"'
 
 @query(
     f"""WITH {ERRORS}, x AS (SELECT event_id, msg, coalesce(nullif(regexp_extract(msg, 'retryDelay[''"]?\\s*:\\s*[''"]([0-9]+(\\.[0-9]+)?)s[''"]', 1), ''), nullif(regexp_extract(msg, '(?i)Please retry in\\s+([0-9]+(\\.[0-9]+)?)s', 1), '')) AS v FROM er)
-SELECT event_id, coalesce(greatest(v::DOUBLE, 0.2), 2.0)::DOUBLE AS delay, contains(upper(msg), 'RESOURCE_EXHAUSTED') OR contains(upper(msg), 'QUOTA EXCEEDED') AS exhausted, contains(lower(msg), 'limit: 0') AS zero_quota, contains(lower(msg), 'out of memory') AS oom FROM x"""
+SELECT event_id, (CASE WHEN v IS NULL THEN 2.0 ELSE greatest(v::DOUBLE, 0.2) END)::DOUBLE AS delay, contains(upper(msg), 'RESOURCE_EXHAUSTED') OR contains(upper(msg), 'QUOTA EXCEEDED') AS exhausted, contains(lower(msg), 'limit: 0') AS zero_quota, contains(lower(msg), 'out of memory') AS oom FROM x"""
 )
 def retry_delay_parse(spark: SparkSession, d: str) -> DataFrame:
     kind, value = F.col("event_id") % 4, F.col("value").cast("string")
