@@ -76,8 +76,40 @@ def _survives(threshold: float, miss: float, first: int, last: int) -> Column:
     return test
 
 
+#: Rows of one partition from which a band key is counted over all partitions.
+NOTICED = 16
+
+
+def _frequent_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band keys that ``NOTICED`` or more rows of the partition have, with their number."""
+    parts = [b.column("keys").flatten().to_numpy() for b in batches if b.num_rows]
+    if parts:
+        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+        kept = counts >= NOTICED
+        yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(counts[kept])], names=["key", "n"])
+
+
+def _banded(sketched: DataFrame, hot: int) -> tuple[DataFrame, Column]:
+    """One row per record and band key, and the condition under which two rows with one ``key`` have to be compared.
+
+    A key with more than ``hot`` rows is split: its rows fall into chunks of about ``hot`` by the hash of their id, and
+    every pair of chunks gets a key of its own, so that no task sees more than two chunks of a hot key.
+    """
+    banded = sketched.select("id", "s1", "s2", F.explode("keys").alias("key"))
+    counts = sketched.select("keys").mapInArrow(_frequent_keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    split = materialised(counts.where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("k")))
+    number = split.count()
+    if not number:
+        return banded, F.lit(True)
+    joined = banded.join(F.broadcast(split) if number <= 500_000 else split, "key", "left")
+    chunk = F.coalesce(F.pmod(F.xxhash64("id"), F.col("k")).cast("int"), F.lit(0))
+    spread = joined.select("id", "s1", "s2", "key", "k", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("p"))
+    key = F.when(F.col("k").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "p"), F.greatest("c", "p")))
+    return spread.select("id", "s1", "s2", "c", "p", key.alias("key")), (F.col("a.c") != F.col("b.c")) | (F.col("a.c") == F.col("a.p"))
+
+
 def similar_pairs(
-    texts: DataFrame, group: str = "source", threshold: float = 0.6, bands: int = 36, rows: int = 4, miss: float = 0.002, seed: int = 7
+    texts: DataFrame, group: str = "source", threshold: float = 0.6, bands: int = 36, rows: int = 4, miss: float = 0.002, seed: int = 7, hot: int = 2048
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs of class representatives at or above the threshold, and the membership of all records.
 
@@ -99,11 +131,11 @@ def similar_pairs(
         .where(F.size("h") > 0)
         .mapInArrow(_sketched(bands, rows, 64 * len(WORDS), seed), "id bigint, keys array<bigint>, " + ", ".join(f"{w} bigint" for w in WORDS))
     )
-    banded = sketched.select("id", "s1", "s2", F.explode("keys").alias("key"))
+    banded, compared = _banded(sketched, hot)
     first = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
     met = (
         banded.alias("a")
-        .join(banded.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _survives(threshold, miss, 0, 2))
+        .join(banded.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & compared & _survives(threshold, miss, 0, 2))
         .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), first.alias("differing"))
         .distinct()
     )
