@@ -46,6 +46,18 @@ def grams(key: str) -> Counter:
     return Counter(plain + [f"{padded[i]}_{padded[i + 2]}" for i in range(len(padded) - 2)])
 
 
+def edits(a: str, b: str) -> int:
+    """Insertions, deletions, replacements and swaps of neighbours that turn a into b."""
+    before, last, row = [], [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, last, row = last, row, [i] + [0] * len(b)
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], before[j - 2] + 1)
+    return row[-1]
+
+
 def literal_values(text: str | None) -> list[str]:
     """The strings of a list or tuple written as Python or JSON text; anything else is taken apart by its quotes."""
     if text is None or not text.strip():
@@ -67,6 +79,7 @@ class Index:
         self.idf, self.unseen = idf, unseen
         keys = sorted({(normalise(surface), owner) for owner, surface in entries if normalise(surface)})
         self.owner = np.array([owner for _, owner in keys], np.int64)
+        self.keys = [key for key, _ in keys]
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for at, (key, _) in enumerate(keys):
             weights = self.weights(key)
@@ -79,18 +92,19 @@ class Index:
         norm = np.sqrt(sum(w * w for w in raw.values())) or 1.0
         return {g: w / norm for g, w in raw.items()}
 
-    def best(self, key: str) -> tuple[int, float, int, float]:
-        """The closest owner and the next other one, each with its cosine; -1 and 0 where there is none."""
-        if not key or not len(self.owner):
-            return -1, 0.0, -1, 0.0
-        found = [(self.lists[g], w) for g, w in self.weights(key).items() if g in self.lists]
+    def best(self, key: str) -> tuple[int, float, int, float, float]:
+        """The closest owner and the next other one, each with its cosine (-1 and 0 where there is none), and the edits
+        between the key and the closest entry as a share of the longer one."""
+        found = [(self.lists[g], w) for g, w in self.weights(key).items() if g in self.lists] if key else []
         if not found:
-            return -1, 0.0, -1, 0.0
+            return -1, 0.0, -1, 0.0, 1.0
         scores = np.bincount(np.concatenate([at for (at, _), _ in found]), np.concatenate([ws * w for (_, ws), w in found]), len(self.owner))
         first = int(np.lexsort((self.owner, -np.round(scores, 12)))[0])
         others = np.where(self.owner == self.owner[first], -1.0, scores)
         second = int(np.argmax(others))
-        return int(self.owner[first]), float(scores[first]), int(self.owner[second]) if others[second] > 0 else -1, max(0.0, float(others[second]))
+        entry = self.keys[first]
+        apart = 0.0 if entry == key else edits(key, entry) / max(len(key), len(entry))
+        return int(self.owner[first]), float(scores[first]), int(self.owner[second]) if others[second] > 0 else -1, max(0.0, float(others[second])), apart
 
 
 def _nearest(shared):
@@ -107,19 +121,20 @@ def _nearest(shared):
                     seen[key] = index.best(key)
                 rows.append(seen[key])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("entered"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.float64())))],
-                names=["entered", "first", "score", "second", "next_score"],
+                [batch.column("entered"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())))],
+                names=["entered", "first", "score", "second", "next_score", "apart"],
             )
 
     return run
 
 
-def map_values(values: DataFrame, reference: DataFrame, threshold: float = 0.42, margin: float = 0.02, block: int = 50_000) -> DataFrame:
+def map_values(values: DataFrame, reference: DataFrame, threshold: float = 0.3, margin: float = 0.02, most_apart: float = 0.35, block: int = 50_000) -> DataFrame:
     """``entered, target, score, next_score`` for every distinct ``entered`` value; ``target`` is null if none is close enough.
 
     ``reference``: rows ``target bigint, surface string``. The list is indexed and broadcast in blocks of ``block``
     entries, so no broadcast grows with it; the gram weights are those of the whole list. A value is accepted when
-    its best target has a cosine of at least ``threshold`` and leads any other target by ``margin``.
+    its best target has a cosine of at least ``threshold`` and leads any other target by ``margin``, and if, as a last
+    check, no more than ``most_apart`` of the letters have to be edited to turn one into the other.
 
     Null values are dropped; blank ones, or values that normalise to nothing, have no target. Entries of the list that
     are null or normalise to nothing are ignored. Equal scores go to the smaller target, and fail the margin. An empty
@@ -137,13 +152,13 @@ def map_values(values: DataFrame, reference: DataFrame, threshold: float = 0.42,
     best = None
     for at in range(0, max(1, len(entries)), block):
         shared = spark.sparkContext.broadcast(Index(entries[at : at + block], idf, unseen))
-        got = values.mapInArrow(_nearest(shared), "entered string, first bigint, score double, second bigint, next_score double")
+        got = values.mapInArrow(_nearest(shared), "entered string, first bigint, score double, second bigint, next_score double, apart double")
         best = got if best is None else best.unionByName(got)
     if len(entries) > block:
-        both = best.select("entered", F.explode(F.array(F.struct("score", F.col("first").alias("t")), F.struct(F.col("next_score").alias("score"), F.col("second").alias("t")))).alias("x"))
-        top = both.groupBy("entered", "x.t").agg(F.max("x.score").alias("s")).groupBy("entered").agg(F.max_by("t", F.struct("s", -F.col("t"))).alias("first"), F.max("s").alias("score"), F.sort_array(F.collect_list("s"), asc=False).alias("all"))
-        best = top.select("entered", "first", "score", F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0.0)).alias("next_score"))
-    accepted = (F.col("score") >= threshold) & (F.col("score") - F.col("next_score") >= margin)
+        both = best.select("entered", F.explode(F.array(F.struct("score", F.col("first").alias("t"), "apart"), F.struct(F.col("next_score").alias("score"), F.col("second").alias("t"), F.lit(1.0).alias("apart")))).alias("x"))
+        top = both.groupBy("entered", "x.t").agg(F.max("x.score").alias("s"), F.max_by("x.apart", "x.score").alias("apart")).groupBy("entered").agg(F.max_by("t", F.struct("s", -F.col("t"))).alias("first"), F.max_by("apart", F.struct("s", -F.col("t"))).alias("apart"), F.max("s").alias("score"), F.sort_array(F.collect_list("s"), asc=False).alias("all"))
+        best = top.select("entered", "first", "score", "apart", F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0.0)).alias("next_score"))
+    accepted = (F.col("score") >= threshold) & (F.col("score") - F.col("next_score") >= margin) & (F.col("apart") <= most_apart)
     return best.select("entered", F.when(accepted, F.col("first")).alias("target"), "score", "next_score", "first")
 
 
