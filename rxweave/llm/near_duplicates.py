@@ -109,7 +109,7 @@ def _banded(sketched: DataFrame, hot: int) -> tuple[DataFrame, Column]:
 
 
 def similar_pairs(
-    texts: DataFrame, group: str = "source", threshold: float = 0.6, bands: int = 36, rows: int = 4, miss: float = 0.002, seed: int = 7, hot: int = 2048
+    texts: DataFrame, group: str = "source", threshold: float = 0.6, bands: int = 36, rows: int = 4, miss: float = 0.002, seed: int = 7, hot: int = 16_384
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs of class representatives at or above the threshold, and the membership of all records.
 
