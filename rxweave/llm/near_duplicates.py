@@ -1,7 +1,7 @@
 """Near-duplicate records: banded min-hash candidates, sequential Bayesian pruning, exact verification.
 
 1. Records with the same set of words form one class; only one representative of a class goes on.
-2. Every representative gets ``bands`` keys of ``rows`` min-hashes each and a signature of one-bit min-hashes.
+2. Every representative gets a number of band keys, of several min-hashes each, and a signature of one-bit min-hashes.
 3. Representatives that share a key are candidates. Their signatures are compared batch by batch inside the join;
    after each batch a pair is dropped when the posterior chance that its similarity reaches the threshold is
    below ``miss``.
@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,8 +109,15 @@ def _banded(sketched: DataFrame, hot: int) -> tuple[DataFrame, Column]:
     return spread.select("id", "s1", "s2", "c", "p", key.alias("key")), (F.col("a.c") != F.col("b.c")) | (F.col("a.c") == F.col("a.p"))
 
 
+def banding(records: int, threshold: float, miss: float) -> tuple[int, int]:
+    """Bands and rows for so many records: one row more for every six-fold number beyond 400,000, which keeps the
+    candidates per record about level, and as many bands as hold the chance to miss a pair at the threshold at ``miss``."""
+    rows = 4 + max(0, math.ceil(math.log(max(records, 1) / 400_000, 6)))
+    return math.ceil(math.log(miss) / math.log(1 - threshold**rows)), rows
+
+
 def similar_pairs(
-    texts: DataFrame, group: str = "source", threshold: float = 0.6, bands: int = 36, rows: int = 4, miss: float = 0.002, seed: int = 7, hot: int = 16_384
+    texts: DataFrame, group: str = "source", threshold: float = 0.6, band_miss: float = 0.007, miss: float = 0.002, seed: int = 7, hot: int = 16_384
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs of class representatives at or above the threshold, and the membership of all records.
 
@@ -119,12 +127,14 @@ def similar_pairs(
     Nulls, empty and wordless texts are in neither result. Copies are members of one class and give no pair of
     their own. Ties need no order. Very long texts count with all their words. An empty table gives empty results.
 
-    Chance to miss a pair: in the bands ``(1 - s**rows)**bands`` for similarity s (0.7 % at the threshold itself,
-    below 0.1 % from 0.65 on, with the defaults for 0.6), and at most about ``miss`` in the Bayesian test.
+    Chance to miss a pair: in the bands ``(1 - s**rows)**bands`` for similarity s, which is ``band_miss`` at the
+    threshold itself and below 0.1 % from 0.65 on, and at most about ``miss`` in the Bayesian test. ``hot``: rows from
+    which a band key is split into chunk pairs.
     """
     texts = materialised(texts.select(group, "text_id", "text"))
     members = materialised(classes(texts, [group]))
     reps = members.where("text_id = rep").select(group, "text_id")
+    bands, rows = banding(reps.count(), threshold, band_miss)
     sketched = materialised(
         texts.join(reps, [group, "text_id"], "left_semi")
         .select("text_id", F.xxhash64(group).alias("salt"), word_hashes(F.col("text")).alias("h"))
