@@ -69,6 +69,13 @@ def test_a_family_of_a_third_of_all_rows_keeps_every_link(spark):
     assert len(found(spark, rows, hot=16)) == 100 * 99 // 2
 
 
+def test_banding_keeps_the_chance_to_miss():
+    assert N.banding(0, 0.6, 0.007) == N.banding(400_000, 0.6, 0.007) == (36, 4)
+    for n in (10**6, 10**8, 10**10):
+        bands, rows = N.banding(n, 0.6, 0.007)
+        assert rows > 4 and (1 - 0.6**rows) ** bands <= 0.007
+
+
 def test_agreement_of_one_bit_signatures():
     rng = np.random.default_rng(1)
     base = rng.integers(-(2**62), 2**62, 300)
