@@ -70,15 +70,14 @@ def cosines(queries: DataFrame, corpus: DataFrame, block: int = 1024) -> DataFra
     ``block``; only a block is ever broadcast, so memory does not grow with the query set. Null vectors are left out, a
     zero vector scores null.
     """
-    unit = lambda v: F.transform(V.doubles(v), lambda x: x / V.norm(V.doubles(v)))
     kept = [c for c in corpus.columns if c != "vec"]
-    c = corpus.where("vec is not null").select(*kept, unit(F.col("vec")).alias("_v"))
-    q = queries.where("vec is not null").select("q", unit(F.col("vec")).alias("_w"))
+    c = corpus.where("vec is not null").select(*kept, V.doubles("vec").alias("_v")).select("*", V.norm(F.col("_v")).alias("_nv"))
+    q = queries.where("vec is not null").select("q", V.doubles("vec").alias("_w")).select("*", V.norm(F.col("_w")).alias("_nw"))
     blocks = max(1, -(-queries.count() // block))
     out = None
     for k in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k)
-        scored = c.crossJoin(F.broadcast(part)).select("q", *kept, V.dot(F.col("_v"), F.col("_w")).alias("score"))
+        scored = c.crossJoin(F.broadcast(part)).select("q", *kept, F.try_divide(V.dot(F.col("_v"), F.col("_w")), F.col("_nv") * F.col("_nw")).alias("score"))
         out = scored if out is None else out.unionByName(scored)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import io, lexicon, matching, metrics, pairs, search, severity, stream, text  # noqa: F401
+from . import io, lexicon, matching, metrics, pairs, pipeline, search, severity, stream, text  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
