@@ -77,4 +77,17 @@ def _over(f):
 #: Gestalt (Ratcliff-Obershelp) ratio; it is not symmetric.
 gestalt = F.pandas_udf(_over(lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()), DoubleType())
 indel_ratio = F.pandas_udf(_over(_indel), DoubleType())
+
+
+def gestalt_from(cutoff: float):
+    """The gestalt ratio where it can reach the cutoff, else 0: cheap upper bounds spare most of the work."""
+
+    def ratio(a: str, b: str) -> float:
+        m = difflib.SequenceMatcher(None, a, b)
+        return m.ratio() if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff else 0.0
+
+    return F.pandas_udf(_over(ratio), DoubleType())
+
+
+
 wratio = F.pandas_udf(_over(weighted_ratio), DoubleType())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..plans.session import spread
 from .pairs import first_of_each
 
 
@@ -58,7 +59,8 @@ def blocked(left: DataFrame, right: DataFrame, least_ratio: float) -> DataFrame:
     a = left.select("l", two(F.col("l")).alias("_p")).select("l", F.size("_p").alias("_n"), F.explode("_p").alias("_g"))
     b = right.select("r", F.explode(two(F.col("r"))).alias("_g"))
     length = F.length("l") + F.length("r")
-    met = a.join(b, "_g").where(2 * F.least(F.length("l"), F.length("r")) >= least_ratio * length)
+    # the sides are small and what they make is large, so their partitions must not be merged by size
+    met = spread(a, "_g").join(spread(b, "_g"), "_g").where(2 * F.least(F.length("l"), F.length("r")) >= least_ratio * length)
     shared = met.groupBy("l", "r", "_n").agg(F.count(F.lit(1)).alias("_s"))
     return shared.where(F.col("_s") >= F.col("_n") - 2 * F.floor((1 - least_ratio) * length + 1e-9)).select("l", "r")
 

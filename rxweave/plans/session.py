@@ -68,6 +68,11 @@ def semi_join_checked(big: DataFrame, keys: DataFrame, on: list[str], limit_rows
     return big.join(small, on, "left_semi")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many partitions as a shuffle has: small rows before costly Python, which would else be one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def literal_rows(spark: SparkSession, **columns: list) -> DataFrame:
     """A small table of literals, column by column: one partition, no Python behind it."""
     rows = [F.struct(*(F.lit(v).alias(n) for n, v in zip(columns, row))) for row in zip(*columns.values())]

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import similarity
 from ..operators import matching as X
 from ..operators.pairs import flatten_index
+from ..plans.session import spread
 from ..sources.tables import table
 from .lexicon import generics, used_names, US
 from .pairs import drug_pairs, kb_edges
@@ -131,7 +132,7 @@ def fuzzy_accept(spark: SparkSession, d: str) -> DataFrame:
 
 def _blocked_names(spark: SparkSession, d: str, ratio: float) -> DataFrame:
     used = used_names(spark, d).where(F.length("alias") >= 8).select(F.col("alias").alias("l"))
-    return X.blocked(used, generics(spark, d).select(F.col("name").alias("r")), ratio)
+    return spread(X.blocked(used, generics(spark, d).select(F.col("name").alias("r")), ratio), "l", "r")
 
 
 @query()
@@ -156,7 +157,7 @@ def gestalt_lookup(spark: SparkSession, d: str) -> DataFrame:
     used = used_names(spark, d).select(F.col("alias").alias("l"))
     exact = used.join(keys.select(F.col("r").alias("l")), "l", "left_semi").select("l", F.col("l").alias("r"), F.lit(1.0).alias("score"))
     rest = used.join(keys.select(F.col("r").alias("l")), "l", "left_anti").where(F.length("l") >= 8)
-    near = X.blocked(rest, keys, 0.85).withColumn("score", similarity.gestalt("r", "l")).where("score >= 0.85")
+    near = spread(X.blocked(rest, keys, 0.85), "l", "r").withColumn("score", similarity.gestalt_from(0.85)("r", "l")).where("score >= 0.85")
     best = near.groupBy("l").agg(F.max_by("r", F.struct("score", "r")).alias("r"), F.max("score").alias("score"))
     return exact.unionByName(best).select(F.col("l").alias("word"), F.col("r").alias("name"), r6("score").alias("score"))
 
@@ -167,5 +168,6 @@ def kb_target_similarity(spark: SparkSession, d: str) -> DataFrame:
     index = flatten_index(kb_edges(spark, d)).where("key_kind = 'name'").select("src_key", F.lower("target").alias("tgt"), "pos")
     pairs = drug_pairs(spark, d).select(F.lower("a").alias("a"), F.lower("b").alias("b")).distinct()
     met = pairs.join(index, F.col("a") == F.col("src_key")).where(2 * F.least(F.length("b"), F.length("tgt")) >= 0.85 * (F.length("b") + F.length("tgt")))
-    scored = met.withColumn("score", similarity.gestalt("b", "tgt")).where("score >= 0.85")
+    distinct = spread(met.select("b", "tgt").distinct(), "b", "tgt").withColumn("score", similarity.gestalt_from(0.85)("b", "tgt")).where("score >= 0.85")
+    scored = met.join(distinct, ["b", "tgt"])
     return scored.groupBy("a", "b").agg(F.min_by("tgt", "pos").alias("target"), F.min("pos").alias("pos"))
