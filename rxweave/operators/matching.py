@@ -41,6 +41,20 @@ def corrected(words: DataFrame, names: DataFrame, most: int = 2) -> DataFrame:
     return agg.where(F.size(best) == 1).select("word", best[0]["name"].alias("name"), "distance")
 
 
+def resembling(names: DataFrame, words: DataFrame, key: str, least: float) -> DataFrame:
+    """``key, name``: names of a record that resemble one of its words, by an indel ratio of ``least`` or more (of 100).
+
+    ``names``: ``key, name``; ``words``: ``key, word``. The equi-join is on the record; lengths that cannot reach the
+    ratio are dropped before any distance is computed. Nulls resemble nothing.
+    """
+    from ..functions.similarity import indel_ratio
+
+    met = names.select(key, "name").distinct().join(words.select(key, "word").distinct(), key)
+    fits = 2 * F.least(F.length("name"), F.length("word")) * 100 >= least * (F.length("name") + F.length("word"))
+    scored = spread(met.where(fits), key, "name").withColumn("score", indel_ratio("name", "word"))
+    return scored.where(F.col("score") >= least).select(key, "name").distinct()
+
+
 def trigrams(text: Column) -> Column:
     """Distinct character 3-grams of each word padded by a blank on either side."""
     padded = F.concat(F.lit(" "), F.regexp_replace(text, r"\s+", "  "), F.lit(" "))

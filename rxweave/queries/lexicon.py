@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lexicon as L
+from ..operators import matching as X
 from ..operators import scan
 from ..sources.tables import table
 from .registry import RX, key_sql, query, rx, strip_sql
@@ -113,6 +114,15 @@ def grounding_semi(spark: SparkSession, d: str) -> DataFrame:
     return own.join(heard, ["prescription_id", "name"], "left_semi")
 
 
+@query()
+def grounding_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """Names of a prescription that resemble a word of its text (indel ratio of 85 or more)."""
+    rows = rx(spark, d)
+    names = rows.select("prescription_id", F.explode("drugs").alias("drug")).where("drug is not null").select("prescription_id", T.name_key(F.col("drug")).alias("name"))
+    words = rows.select("prescription_id", F.explode(scan.tokens(T.glued_presplit(F.col("prescription_text")))).alias("word"))
+    return X.resembling(names.where("name != ''"), words, "prescription_id", 85.0)
+
+
 @query(f"WITH {USED} SELECT alias FROM us WHERE alias IN (SELECT name FROM rf) OR alias IN (SELECT alias FROM al)")
 def known_name_semi(spark: SparkSession, d: str) -> DataFrame:
     known = generics(spark, d).select(F.col("name").alias("alias")).unionByName(aliases(spark, d).select("alias"))

@@ -163,6 +163,13 @@ def test_block_loses_no_indel_match(spark):
     assert want <= got
 
 
+def test_resembling(spark):
+    names = spark.createDataFrame([(1, "warfarin"), (1, "aspirin"), (2, "aspirin"), (2, None), (None, "warfarin")], "k int, name string")
+    words = spark.createDataFrame([(1, "warfarn"), (1, "x"), (1, "aspergillus"), (2, "aspirin"), (2, "aspirin"), (None, "warfarin"), (2, None)], "k int, word string")
+    assert rows(X.resembling(names, words, "k", 85.0)) == [(1, "warfarin"), (2, "aspirin")]
+    assert X.resembling(names.limit(0), words, "k", 85.0).count() == 0
+
+
 def test_segments(spark):
     words = spark.createDataFrame([("dolocrocin",), ("phenobarbital",), ("aaabbbccc",), ("short",), (None,)], "word string")
     names = spark.createDataFrame([(n,) for n in ("dolo", "crocin", "phe", "no", "barbital", "phenobarbital", "aaa", "bbb", "ccc")], "name string")
