@@ -90,4 +90,5 @@ def gestalt_from(cutoff: float):
 
 
 
-wratio = F.pandas_udf(_over(weighted_ratio), DoubleType())
+#: Marked as not deterministic, else a filter on the score is pushed below the block and scores every pair that meets there.
+wratio = F.pandas_udf(_over(weighted_ratio), DoubleType()).asNondeterministic()

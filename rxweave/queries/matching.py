@@ -145,7 +145,8 @@ def indel_ratio(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def wratio_match(spark: SparkSession, d: str) -> DataFrame:
     """The best weighted ratio of each name in use, 75 or more, with its lead over the next name."""
-    scored = _blocked_names(spark, d, 0.75).withColumn("score", similarity.wratio("l", "r")).where("score >= 75")
+    met = X.blocked_weighted(used_names(spark, d).select(F.col("alias").alias("l")), generics(spark, d).select(F.col("name").alias("r")), 75.0)
+    scored = spread(met, "l", "r").withColumn("score", similarity.wratio("l", "r")).where("score >= 75")
     best = X.margins(scored, "l", "r", "score")
     return best.select(F.col("l").alias("word"), F.col("concept").alias("name"), r6("score").alias("score"), r6("lead").alias("lead"))
 

@@ -163,6 +163,23 @@ def test_block_loses_no_indel_match(spark):
     assert want <= got
 
 
+def test_weighted_block_loses_no_match_of_mixed_lengths(spark):
+    rng = random.Random(11)
+    names = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 14))) for _ in range(50)} | {"salmon calcitonin", "vitamin d", "a b", ""})
+    entries = {"sesokavir tablets", "calcitonin salmon", "calcitonin\u00a0salmon", "d vitamin forte", "b a", "salmon  salmon calcitonin", "", " "}
+    for n in names:
+        for _ in range(6):
+            s = list(n)
+            for _ in range(rng.randrange(0, 3)):
+                i = rng.randrange(len(s) + 1)
+                s[i : i + rng.randrange(2)] = rng.choice([[], [rng.choice("abcdefgh")]])
+            entries.add(rng.choice(["", "cap. ", "tab ", "inj.", "x "]) + "".join(s) + rng.choice(["", "50mg", " tablets", " 500 mg bd", " x"]))
+    want = {(a, b) for a in entries for b in [*names, "sesokavir"] if similarity.weighted_ratio(a, b) >= 75}
+    assert ("sesokavir tablets", "sesokavir") in want and len({(len(a) >= 1.5 * len(b), len(b) < 8) for a, b in want}) == 4
+    got = X.blocked_weighted(spark.createDataFrame([(x,) for x in entries], "l string"), spark.createDataFrame([(x,) for x in [*names, "sesokavir"]], "r string")).collect()
+    assert want <= {(r.l, r.r) for r in got} and len(got) == len(set(got)) < len(entries) * len(names) / 2
+
+
 def test_resembling(spark):
     names = spark.createDataFrame([(1, "warfarin"), (1, "aspirin"), (2, "aspirin"), (2, None), (None, "warfarin")], "k int, name string")
     words = spark.createDataFrame([(1, "warfarn"), (1, "x"), (1, "aspergillus"), (2, "aspirin"), (2, "aspirin"), (None, "warfarin"), (2, None)], "k int, word string")
