@@ -70,6 +70,30 @@ def clean_mention(mention: Column) -> Column:
     return squeezed(text)
 
 
+#: White space, word characters and word boundaries of any script, spelt out: ``\b`` and ``\w`` differ between engines there.
+_WORD = r"\p{L}\p{N}_"
+_EDGE = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+
+
+def clean_any_mention(mention: Column) -> Column:
+    """``clean_mention`` for entries of any script: letters with accents are letters, every kind of blank is a blank."""
+    text = F.lower(stripped(mention))
+    for pattern, put in (
+        (rf"([a-z])(\d+(\.\d+)?\s?({UNITS}|%))", "$1 $2"),
+        (rf"(\d+(\.\d+)?({UNITS}|%))([a-z]{{1,3}})", "$1 $4"),
+        (r"[()\[\]{}]", " "),
+        (rf"[^{_WORD}\s\p{{Z}}\-/+&]", " "),
+        (rf"\b\d+(\.\d+)?\s?({UNITS}|%|w/v|v/v)\b", " "),
+        (rf"\b({FORMS})\b", " "),
+        (rf"\b({FREQUENCIES})\b", " "),
+        (rf"\b({MODIFIERS})\b", " "),
+        (r"\b\d+(\.\d+)?\b", " "),
+    ):
+        spelt = pattern if _WORD in pattern else pattern.replace(r"\b", _EDGE).replace(r"\s", SPACES)
+        text = F.regexp_replace(text, spelt, put)
+    return stripped(F.regexp_replace(text, f"{SPACES}+", " "))
+
+
 def normalize_text(text: Column) -> Column:
     return squeezed(F.regexp_replace(F.lower(text), r"[^\w\s]", " "))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,12 +34,12 @@ def upsert(base: DataFrame, over: DataFrame) -> DataFrame:
     return both.select("alias", F.coalesce("_o", "_b").alias("concepts"), F.when(F.col("_o").isNotNull(), "over").otherwise("base").alias("source"))
 
 
-def resolve(mentions: DataFrame, synonyms: DataFrame) -> DataFrame:
+def resolve(mentions: DataFrame, synonyms: DataFrame, clean: Callable[[Column], Column] = T.clean_mention) -> DataFrame:
     """``mention, name, step``: all concepts of the raw mention, else of the cleaned one, else the mention itself.
 
     Names of one or two letters that are stopwords are never resolved.
     """
-    raw, cleaned = T.name_key(F.col("mention")), T.clean_mention(F.col("mention"))
+    raw, cleaned = T.name_key(F.col("mention")), clean(F.col("mention"))
     keyed = mentions.select("mention", raw.alias("raw"), cleaned.alias("cleaned"))
     s1 = synonyms.select(F.col("alias").alias("raw"), F.col("concepts").alias("_c1"))
     s2 = synonyms.select(F.col("alias").alias("cleaned"), F.col("concepts").alias("_c2"))

@@ -97,11 +97,20 @@ MENTION_NAMES = f"{UP}, us AS (SELECT DISTINCT drug AS mention FROM (SELECT unne
 SELECT mention, unnest(CASE WHEN len(raw) <= 2 AND raw IN ({STOPS}) THEN [raw] ELSE coalesce(c1, c2, [raw]) END) AS name, CASE WHEN len(raw) <= 2 AND raw IN ({STOPS}) THEN 'stopword' WHEN c1 IS NOT NULL THEN 'raw' WHEN c2 IS NOT NULL THEN 'cleaned' ELSE 'itself' END AS step FROM j"""
 )
 def synonym_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """Entries in plain ASCII, on which the engines' word boundaries agree, resolved by alias, cleaned alias or left alone."""
+    """Entries in plain ASCII, on which the engines' word boundaries agree, resolved by alias, cleaned alias or left alone.
+
+    ``synonym_resolve_whole`` takes all entries."""
     entered = table(spark, d, "keyword_smoke10").select(F.explode("drugs").alias("mention")).where(F.col("mention").rlike(r"^[\x20-\x7E]*$")).distinct()
     return L.resolve(entered, merged_synonyms(spark, d).select("alias", "concepts"))
 
 
+@query()
+def synonym_resolve_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All entries, of any script and with any blanks, resolved by alias, cleaned alias or left alone."""
+    entered = table(spark, d, "keyword_smoke10").select(F.explode("drugs").alias("mention")).where("mention is not null").distinct()
+    return L.resolve(entered, merged_synonyms(spark, d).select("alias", "concepts"), T.clean_any_mention)
+
+
 @query(f"WITH {TOKENS}, {REF}, sf AS (SELECT name, name AS surface FROM rf UNION SELECT concept, alias FROM al), g AS (SELECT DISTINCT prescription_id, array_to_string(words, ' ') AS w FROM grams), h AS (SELECT DISTINCT prescription_id, name FROM g JOIN sf ON sf.surface = g.w), e AS (SELECT DISTINCT prescription_id, {key_sql('drug')} AS name FROM (SELECT prescription_id, unnest(drugs) AS drug FROM rx) WHERE drug IS NOT NULL) SELECT e.prescription_id, e.name FROM e JOIN h USING (prescription_id, name)")
 def grounding_semi(spark: SparkSession, d: str) -> DataFrame:
     """Names of a prescription that its text has, as such or by a brand, on word boundaries."""

@@ -128,6 +128,18 @@ def test_lexicon_pieces(spark):
     assert [r.key for r in L.capped(lex, "key", 3).orderBy("key").collect()] == ["a", "c", "p"]
 
 
+def test_all_entries_are_resolved(spark, tmp_path):
+    from rxweave.queries import queries
+
+    names = [("Hybrafituxate", ["Ecosprin"]), ("ticliopecodríne", None)]
+    spark.createDataFrame([(k, n, b, "c") for k, (n, b) in enumerate(names)], "drug_id int, drug_name string, brand_names array<string>, drug_class string").write.parquet(str(tmp_path / "drug_reference.parquet"))
+    drugs = ["\tHybrafituxate", "Hybrafituxate\u00a020\u00a0mg", "ecosprin\u00a0tablets", "Ticliopecodríne 5mg", "éhybrafituxate", "hybra\u00adfituxate", "hybrafituxate 500mgBD", None]
+    spark.createDataFrame([(drugs,)], "drugs array<string>").write.parquet(str(tmp_path / "keyword_smoke10.parquet"))
+    want = [("\tHybrafituxate", "hybrafituxate", "raw"), ("Hybrafituxate\u00a020\u00a0mg", "hybrafituxate", "cleaned"), ("ecosprin\u00a0tablets", "hybrafituxate", "cleaned"), ("Ticliopecodríne 5mg", "ticliopecodríne", "cleaned")]
+    want += [("éhybrafituxate", "éhybrafituxate", "itself"), ("hybra\u00adfituxate", "hybra\u00adfituxate", "itself"), ("hybrafituxate 500mgBD", "hybrafituxate", "cleaned")]
+    assert rows(queries()["synonym_resolve_whole"](spark, str(tmp_path)).select("mention", "name", "step")) == sorted(want, key=repr)
+
+
 def test_within_edits_finds_what_brute_force_finds(spark):
     rng = random.Random(5)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(60)})
