@@ -113,20 +113,20 @@ def blocked_weighted(left: DataFrame, right: DataFrame, least: float = 75.0) ->
     """
     a = _forms(left, "l").select("l", F.col("form").alias("fl"), F.col("own").alias("ol"))
     b = _forms(right, "r").select("r", F.col("form").alias("fr"), F.col("own").alias("or"))
-    pairs_a, pairs_b = a.withColumn("_p", _letter_pairs(F.col("fl"))), b.withColumn("_p", _letter_pairs(F.col("fr")))
-    grams_a = pairs_a.select("l", "fl", "ol", F.size("_p").alias("_nl"), F.explode("_p").alias("_g"))
-    grams_b = pairs_b.select("r", "fr", "or", F.size("_p").alias("_nr"), F.explode("_p").alias("_g"))
+    grams_a = a.withColumn("_pl", _letter_pairs(F.col("fl"))).select("*", F.explode("_pl").alias("_g"))
+    grams_b = b.withColumn("_pr", _letter_pairs(F.col("fr"))).select("*", F.explode("_pr").alias("_g"))
     short, long = F.least(F.length("fl"), F.length("fr")), F.greatest(F.length("fl"), F.length("fr"))
     t = least / 100
     alike = 2 * short >= t * (short + long) - 1e-9
     part = F.col("ol") & F.col("or") & (2 * long >= 3 * short) & (long <= 8 * short)
-    met = spread(grams_a, "_g").join(spread(grams_b, "_g"), "_g").where(alike | part)
-    shared = met.groupBy("l", "r", "fl", "fr", "ol", "or", "_nl", "_nr").agg(F.count(F.lit(1)).alias("_s"))
     edits, longer = F.floor((1 - t) * (short + long) + 1e-9), F.length("fl") - F.length("fr")
-    enough = alike & (F.col("_s") >= F.col("_nl") - (3 * edits + longer) / 2) & (F.col("_s") >= F.col("_nr") - (3 * edits - longer) / 2)
-    fewer = F.when(F.length("fl") <= F.length("fr"), F.col("_nl")).otherwise(F.col("_nr"))
-    inside = part & (F.col("_s") >= fewer - 3 * F.floor(short * (1 - least / 90) + 1e-9))
-    by_letters = shared.where(enough | inside).select("l", "r")
+    enough = F.greatest(F.size("_pl") - (3 * edits + longer) / 2, F.size("_pr") - (3 * edits - longer) / 2)
+    fewer = F.when(F.length("fl") <= F.length("fr"), F.size("_pl")).otherwise(F.size("_pr"))
+    inside = (fewer - 3 * F.floor(short * (1 - least / 90) + 1e-9)).cast("double")
+    needed = F.least(F.when(alike, enough), F.when(part, inside))
+    # counted where a pair meets, at its first shared letter pair only: what meets is many times what is kept, and not shuffled
+    kept = F.exists(F.array(F.array_intersect("_pl", "_pr")), lambda both: (both[0] == F.col("_g")) & (F.size(both) >= needed))
+    by_letters = spread(grams_a, "_g").join(spread(grams_b, "_g"), "_g").where((alike | part) & kept).select("l", "r")
     token = lambda side, name: side.select(name, F.explode(F.array_distinct(_tokens(F.col(name)))).alias("_g")).distinct()
     by_token = spread(token(left, "l"), "_g").join(spread(token(right, "r"), "_g"), "_g").where((F.length("l") <= 8 * F.length("r")) & (F.length("r") <= 8 * F.length("l"))).select("l", "r")
     letters = lambda form: F.explode(F.array_distinct(F.split(form, ""))).alias("_g")
