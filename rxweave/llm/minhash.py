@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -17,52 +21,76 @@ def fold(hashes: np.ndarray) -> np.ndarray:
     return ((raw >> np.uint64(32)) ^ raw).astype(np.uint32)
 
 
-def signatures(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (documents x bands, uint64) and packed one-bit min-hashes (documents x bits/64, uint64).
+def minima(hashes: np.ndarray, starts: np.ndarray, count: int, seed: int) -> Iterator[np.ndarray]:
+    """``count`` min-hashes of every document, one array of documents after the other.
 
     ``starts`` are the offsets of the documents in ``hashes``; no document is empty.
     """
-    odd, flip = seeds(bands * rows + bits, seed)
+    odd, flip = seeds(count, seed)
     x = fold(hashes)
     work = np.empty_like(x)
-
-    def minimum(k: int) -> np.ndarray:
+    for k in range(count):
         np.bitwise_xor(x, flip[k], out=work)
         np.multiply(work, odd[k], out=work)
         np.bitwise_xor(work, work >> np.uint32(15), out=work)
         np.multiply(work, np.uint32(0x2C1B3C6D), out=work)
-        return np.minimum.reduceat(work, starts)
+        yield np.minimum.reduceat(work, starts)
 
+
+def signatures(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (documents x bands, uint64) and packed one-bit min-hashes (documents x bits/64, uint64)."""
+    made = minima(hashes, starts, bands * rows + bits, seed)
     keys = np.empty((len(starts), bands), np.uint64)
     for b in range(bands):
         acc = np.full(len(starts), (b + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
-        for r in range(rows):
-            acc ^= minimum(b * rows + r).astype(np.uint64)
+        for _ in range(rows):
+            acc ^= next(made).astype(np.uint64)
             acc *= np.uint64(0xBF58476D1CE4E5B9)
             acc ^= acc >> np.uint64(29)
         keys[:, b] = acc
     sketch = np.zeros((len(starts), bits // 64), np.uint64)
-    for k in range(bits):
-        low = (minimum(bands * rows + k) * np.uint32(0x85EBCA6B)) >> np.uint32(31)
+    for k, values in enumerate(made):
+        low = (values * np.uint32(0x85EBCA6B)) >> np.uint32(31)
         sketch[:, k // 64] |= low.astype(np.uint64) << np.uint64(k % 64)
     return keys, sketch
 
 
-def least_matches(threshold: float, batches: tuple[int, ...], miss: float) -> list[int]:
-    """For each number of compared bits, the fewest agreeing bits at which a pair is kept.
+@lru_cache(maxsize=16)
+def posteriors(threshold: float, bits: int) -> np.ndarray:
+    """For every number of agreeing bits out of ``bits``, the posterior chance that the similarity reaches the threshold.
 
-    Two sets of Jaccard similarity s agree in a one-bit min-hash with chance (1 + s) / 2. With a uniform prior
-    over s, a pair is dropped once the posterior chance that s reaches the threshold falls below ``miss``.
+    Two sets of Jaccard similarity s agree in a one-bit min-hash with chance (1 + s) / 2; the prior over s is uniform.
     """
-    s = np.linspace(0, 1, 4001)
-    p = (1 + s) / 2
-    out = []
-    for n in batches:
-        for m in range(n + 1):
-            with np.errstate(divide="ignore"):
-                log = m * np.log(p) + (n - m) * np.log(1 - p + 1e-300)
-            weight = np.exp(log - log.max())
-            if weight[s >= threshold].sum() / weight.sum() >= miss:
-                out.append(m)
-                break
-    return out
+    p = (1 + np.linspace(0, 1, 2001)) / 2
+    m = np.arange(bits + 1)[:, None]
+    log = m * np.log(p) + (bits - m) * np.log(1 - p + 1e-300)
+    weight = np.exp(log - log.max(1, keepdims=True))
+    return weight[:, p >= (1 + threshold) / 2 - 1e-9].sum(1) / weight.sum(1)
+
+
+def least_matches(threshold: float, batches: tuple[int, ...], cut: float) -> list[int]:
+    """For each number of compared bits, the fewest agreeing bits at which a pair is kept: it is dropped once the
+    posterior chance that its similarity reaches the threshold falls below ``cut``."""
+    return [int(np.argmax(posteriors(threshold, n) >= cut)) for n in batches]
+
+
+def lost_in_tests(similarity: float, batches: tuple[int, ...], least: list[int]) -> float:
+    """The chance that a pair of this similarity is dropped by any of the tests."""
+    p = (1 + similarity) / 2
+    alive, done = np.ones(1), 0
+    for n, m in zip(batches, least):
+        k = n - done
+        step = np.array([math.comb(k, j) * p**j * (1 - p) ** (k - j) for j in range(k + 1)])  # agreeing bits of this batch
+        alive, done = np.convolve(alive, step), n
+        alive[:m] = 0
+    return 1 - float(alive.sum())
+
+
+@lru_cache(maxsize=16)
+def posterior_cut(threshold: float, batches: tuple[int, ...], miss: float) -> float:
+    """The largest posterior bound, to a factor of 1.1, at which all tests together lose a pair at the threshold with a
+    chance of ``miss`` at most."""
+    cut = miss
+    while lost_in_tests(threshold, batches, least_matches(threshold, batches, cut)) > miss:
+        cut /= 1.1
+    return cut
