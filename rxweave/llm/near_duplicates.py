@@ -30,8 +30,9 @@ from .minhash import least_matches, minima, posterior_cut, signatures
 BATCHES = (32, 64, 96, 128, 160, 192, 224, 256)
 WORDS = ("s1", "s2", "s3", "s4")
 #: Lengths of a band that are weighed against each other, counters of the estimate for each, and the pairs that take as
-#: long to compare as one band row takes to shuffle, sort and count.
-LENGTHS = tuple(range(2, 13))
+#: long to compare as one band row takes to shuffle, sort and count. Bands shorter than four would be cheaper for small
+#: collections only, and their keys are shared by unlike records.
+LENGTHS = tuple(range(4, 13))
 COUNTERS = 1024
 PAIRS_PER_ROW = 25
 
@@ -153,7 +154,8 @@ def _candidates(sketched: DataFrame, least: dict[int, int], hot: int) -> DataFra
         return joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), first.alias("differing"))
 
     pairs = meeting(counted.where((F.col("n") > 1) & (F.col("n") <= hot)))
-    split = materialised(counted.where(F.col("n") > hot).select("id", "s1", "s2", "key", F.ceil(F.col("n") / hot).cast("int").alias("k")))
+    # in one job with the rest, so that the first shuffle is written once and read by both
+    split = counted.where(F.col("n") > hot).select("id", "s1", "s2", "key", F.ceil(F.col("n") / hot).cast("int").alias("k"))
     chunk = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
     spread = split.select("id", "s1", "s2", "key", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("p"))
     chunks = spread.select("id", "s1", "s2", "c", "p", F.xxhash64("key", F.least("c", "p"), F.greatest("c", "p")).alias("key"))
