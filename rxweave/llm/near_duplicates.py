@@ -142,7 +142,7 @@ def _candidates(sketched: DataFrame, least: dict[int, int], hot: int) -> DataFra
     gets a key of its own, so that no task sees more than two chunks of a hot key. Only rows of hot keys are
     shuffled again.
     """
-    banded = sketched.select("id", "s1", "s2", F.explode("keys").alias("key"))
+    banded = sketched.select("id", "s1", "s2", F.explode("keys").alias("key")).where("key is not null")  # as the join asks, so that all branches share one shuffle
     counted = banded.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
     first = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
 
