@@ -1,4 +1,12 @@
-"""Mapping free entries to a reference list: n-gram inverted index, weighted cosine, threshold and margin."""
+"""Mapping free entries to a reference list: n-gram inverted index, weighted cosine, threshold and margin.
+
+1. Distinct values and entries are normalised to keys.
+2. A key is the set of its character n-grams. A gram weighs as its inverse document frequency in the list. A gram that
+   no entry has, the mark of a slip, weighs as little as a gram that every entry has, so that slips cost little.
+3. The entries' grams are the inverted lists, a table. The values' grams are joined with it and the products are summed
+   per value and entry: only entries that share a gram are ever scored.
+4. The best target is accepted above a threshold and with a margin over the next one.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +14,17 @@ import ast
 import json
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..plans.session import materialised, spread
+
+#: Rows up to which the inverted lists are broadcast, each of about 50 bytes; beyond it they are joined by a shuffle.
+MOST_POSTINGS = 1_000_000
 
 # Words around a drug name that are not part of it.
 FORMS = {
@@ -39,23 +51,15 @@ def normalise(value: str) -> str:
     return "".join(parts).translate(LOOKALIKE).replace("rn", "m")
 
 
-def grams(key: str) -> Counter:
-    """2-grams and 3-grams of the padded key, and pairs of signs one apart, which outlast a swap of neighbours."""
-    padded = f"^{key}$"
-    plain = [padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)]
-    return Counter(plain + [f"{padded[i]}_{padded[i + 2]}" for i in range(len(padded) - 2)])
-
-
-def edits(a: str, b: str) -> int:
-    """Insertions, deletions, replacements and swaps of neighbours that turn a into b."""
-    before, last, row = [], [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, last, row = last, row, [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                row[j] = min(row[j], before[j - 2] + 1)
-    return row[-1]
+def grams(key: Column) -> Column:
+    """2-grams and 3-grams of the padded key, pairs of signs one apart, and 3-grams with their signs sorted: the last
+    two outlast a swap of neighbours. Each gram once."""
+    padded = F.concat(F.lit("^"), key, F.lit("$"))
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length(key) + 3 - n, F.lit(1)))
+    plain = lambda n: F.transform(starts(n), lambda i: F.substr(padded, i, F.lit(n)))
+    apart = F.transform(starts(3), lambda i: F.concat(F.substr(padded, i, F.lit(1)), F.lit("_"), F.substr(padded, i + 2, F.lit(1))))
+    ordered = F.transform(plain(3), lambda g: F.concat(F.lit("~"), F.array_join(F.array_sort(F.split(g, "")), "")))
+    return F.array_distinct(F.concat(plain(2), plain(3), apart, ordered))
 
 
 def literal_values(text: str | None) -> list[str]:
@@ -72,94 +76,62 @@ def literal_values(text: str | None) -> list[str]:
     return [a or b for a, b in re.findall(r"'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\"", text)]
 
 
-class Index:
-    """Inverted lists of the reference entries' grams, weighted by inverse frequency, scaled to length one."""
-
-    def __init__(self, entries: list[tuple[int, str]], idf: dict[str, float], unseen: float):
-        self.idf, self.unseen = idf, unseen
-        keys = sorted({(normalise(surface), owner) for owner, surface in entries if normalise(surface)})
-        self.owner = np.array([owner for _, owner in keys], np.int64)
-        self.keys = [key for key, _ in keys]
-        lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for at, (key, _) in enumerate(keys):
-            weights = self.weights(key)
-            for g, w in weights.items():
-                lists[g].append((at, w))
-        self.lists = {g: (np.array([a for a, _ in x]), np.array([w for _, w in x])) for g, x in lists.items()}
-
-    def weights(self, key: str) -> dict[str, float]:
-        raw = {g: (1 + np.log(n)) * self.idf.get(g, self.unseen) for g, n in grams(key).items()}
-        norm = np.sqrt(sum(w * w for w in raw.values())) or 1.0
-        return {g: w / norm for g, w in raw.items()}
-
-    def best(self, key: str) -> tuple[int, float, int, float, float]:
-        """The closest owner and the next other one, each with its cosine (-1 and 0 where there is none), and the edits
-        between the key and the closest entry as a share of the longer one."""
-        found = [(self.lists[g], w) for g, w in self.weights(key).items() if g in self.lists] if key else []
-        if not found:
-            return -1, 0.0, -1, 0.0, 1.0
-        scores = np.bincount(np.concatenate([at for (at, _), _ in found]), np.concatenate([ws * w for (_, ws), w in found]), len(self.owner))
-        first = int(np.lexsort((self.owner, -np.round(scores, 12)))[0])
-        others = np.where(self.owner == self.owner[first], -1.0, scores)
-        second = int(np.argmax(others))
-        entry = self.keys[first]
-        apart = 0.0 if entry == key else edits(key, entry) / max(len(key), len(entry))
-        return int(self.owner[first]), float(scores[first]), int(self.owner[second]) if others[second] > 0 else -1, max(0.0, float(others[second])), apart
-
-
-def _nearest(shared):
+def _keys(column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
-        seen: dict[str, tuple] = {}
         for batch in batches:
-            rows = []
-            for value in batch.column("entered").to_pylist():
-                key = normalise(value)
-                if key not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen[key] = index.best(key)
-                rows.append(seen[key])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("entered"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())))],
-                names=["entered", "first", "score", "second", "next_score", "apart"],
-            )
+            keys = pa.array([normalise(x) for x in batch.column(column).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "key"])
 
     return run
 
 
-def map_values(values: DataFrame, reference: DataFrame, threshold: float = 0.3, margin: float = 0.02, most_apart: float = 0.35, block: int = 50_000) -> DataFrame:
-    """``entered, target, score, next_score`` for every distinct ``entered`` value; ``target`` is null if none is close enough.
+def postings(reference: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The inverted lists of ``reference`` (``target bigint, surface string``): ``gram, target, entry, weight``, vectors
+    scaled to length one; and ``gram, idf`` of every gram. Surfaces that are null or normalise to nothing are left out."""
+    surfaces = reference.select(F.col("target").cast("bigint").alias("target"), "surface").dropna().distinct()
+    entries = materialised(surfaces.mapInArrow(_keys("surface"), "target bigint, surface string, key string").where("key != ''").select("target", F.col("key").alias("entry")).distinct())
+    number = entries.select("entry").distinct().count()
+    listed = entries.select("entry").distinct().select("entry", F.explode(grams(F.col("entry"))).alias("gram"))
+    idf = materialised(listed.groupBy("gram").agg((F.ln((1.0 + number) / (1.0 + F.count(F.lit(1)))) + 1).alias("idf")))
+    weighed = listed.join(idf, "gram")
+    norms = weighed.groupBy("entry").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("norm"))
+    lists = weighed.join(norms, "entry").join(entries, "entry").select("gram", "target", "entry", (F.col("idf") / F.col("norm")).alias("weight"))
+    return materialised(lists), idf
+
+
+def map_values(values: DataFrame, reference: DataFrame, threshold: float = 0.49, margin: float = 0.02, reported: float | None = None) -> DataFrame:
+    """``entered, target, score, next_score, first`` for every distinct ``entered`` value; ``target`` is null if none is
+    close enough, ``first`` is the closest one all the same.
 
-    ``reference``: rows ``target bigint, surface string``. The list is indexed and broadcast in blocks of ``block``
-    entries, so no broadcast grows with it; the gram weights are those of the whole list. A value is accepted when
-    its best target has a cosine of at least ``threshold`` and leads any other target by ``margin``, and if, as a last
-    check, no more than ``most_apart`` of the letters have to be edited to turn one into the other.
+    ``reference``: rows ``target bigint, surface string``; extra columns of either table are ignored. A value is accepted
+    when its best target has a cosine of at least ``threshold`` and leads any other target by ``margin``. Targets below
+    ``reported`` (by default ``threshold - margin``, beyond which none can matter) are left out of ``first``,
+    ``score`` and ``next_score``, which then are null, 0 and 0.
 
     Null values are dropped; blank ones, or values that normalise to nothing, have no target. Entries of the list that
     are null or normalise to nothing are ignored. Equal scores go to the smaller target, and fail the margin. An empty
-    list leaves every value without a target.
+    list leaves every value without a target. Very long values count with all their grams.
     """
-    spark = values.sparkSession
-    values = values.select("entered").where("entered is not null").distinct()
-    entries = [(r.target, r.surface) for r in reference.select("target", "surface").dropna().distinct().orderBy("target", "surface").toLocalIterator()]
-    counts: Counter = Counter()
-    for surface in {normalise(s) for _, s in entries}:
-        counts.update(grams(surface).keys())
-    total = max(1, len(entries))
-    idf = {g: float(np.log((1 + total) / (1 + n)) + 1) for g, n in counts.items()}
-    unseen = float(np.log(1 + total) + 1)
-    best = None
-    for at in range(0, max(1, len(entries)), block):
-        shared = spark.sparkContext.broadcast(Index(entries[at : at + block], idf, unseen))
-        got = values.mapInArrow(_nearest(shared), "entered string, first bigint, score double, second bigint, next_score double, apart double")
-        best = got if best is None else best.unionByName(got)
-    if len(entries) > block:
-        both = best.select("entered", F.explode(F.array(F.struct("score", F.col("first").alias("t"), "apart"), F.struct(F.col("next_score").alias("score"), F.col("second").alias("t"), F.lit(1.0).alias("apart")))).alias("x"))
-        top = both.groupBy("entered", "x.t").agg(F.max("x.score").alias("s"), F.max_by("x.apart", "x.score").alias("apart")).groupBy("entered").agg(F.max_by("t", F.struct("s", -F.col("t"))).alias("first"), F.max_by("apart", F.struct("s", -F.col("t"))).alias("apart"), F.max("s").alias("score"), F.sort_array(F.collect_list("s"), asc=False).alias("all"))
-        best = top.select("entered", "first", "score", "apart", F.coalesce(F.try_element_at("all", F.lit(2)), F.lit(0.0)).alias("next_score"))
-    accepted = (F.col("score") >= threshold) & (F.col("score") - F.col("next_score") >= margin) & (F.col("apart") <= most_apart)
-    return best.select("entered", F.when(accepted, F.col("first")).alias("target"), "score", "next_score", "first")
+    lists, idf = postings(reference)
+    near = F.broadcast if lists.count() <= MOST_POSTINGS else (lambda df: df)
+    least = threshold - margin if reported is None else reported
+    distinct = values.select("entered").where("entered is not null").distinct()
+    keyed = materialised(distinct.mapInArrow(_keys("entered"), "entered string, key string"))
+    # spread by key: all that follows up to the best targets stays within these partitions
+    keys = spread(keyed.select("key").where("key != ''").distinct(), "key").select("key", grams(F.col("key")).alias("grams"))
+    seen = keys.select("key", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(near(idf), "gram")
+    # a gram outside the list has the weight 1
+    norms = seen.groupBy("key").agg(F.sqrt(F.sum(F.col("idf") ** 2) + F.max("size") - F.count(F.lit(1))).alias("norm"))
+    dots = seen.join(near(lists), "gram").groupBy("key", "target", "entry").agg(F.sum(F.col("idf") * F.col("weight")).alias("dot"))
+    scores = dots.join(norms, "key").withColumn("score", F.col("dot") / F.col("norm")).where(F.col("score") >= least).groupBy("key", "target").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.round("score", 12)), "target"))
+    two = scores.withColumn("place", place).where("place <= 2")
+    is_first = F.col("place") == 1
+    best = two.groupBy("key").agg(F.max(F.when(is_first, F.col("target"))).alias("first"), F.max(F.when(is_first, F.col("score"))).alias("score"), F.max(F.when(~is_first, F.col("score"))).alias("next_score"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    joined = keyed.join(best, "key", "left").select("entered", "first", zero("score").alias("score"), zero("next_score").alias("next_score"))
+    accepted = (F.col("score") >= threshold) & (F.col("score") - F.col("next_score") >= margin)
+    return joined.select("entered", F.when(accepted, F.col("first")).alias("target"), "score", "next_score", "first")
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -109,7 +109,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that belong to no entry of the list: how often they occur and the entry that came closest."""
     entries = _drug_entries(spark, sf_dir)
-    mapped = canonical.map_values(entries, _drug_surfaces(spark, sf_dir)).where("target is null")
+    mapped = canonical.map_values(entries, _drug_surfaces(spark, sf_dir), reported=0.2).where("target is null")
     counts = entries.groupBy("entered").agg(F.count(F.lit(1)).alias("prescriptions"))
     return counts.join(mapped, "entered").select("entered", "prescriptions", F.col("first").cast("int").alias("closest_drug_id"), F.round("score", 4).alias("score"))
 

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,14 +25,37 @@ def test_values(spark):
     assert mapped(spark, [*CASES, None, "FOLIOBEMOXANE"]) == CASES
 
 
-def test_blocks_of_the_list_give_the_same(spark):
-    assert mapped(spark, CASES, block=2) == CASES
+def test_lists_joined_by_a_shuffle_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(K, "MOST_POSTINGS", 0)
+    assert mapped(spark, CASES) == CASES
 
 
-def test_a_value_between_two_names_fails_the_margin(spark):
-    names = [(1, "abcdefgh1x"), (2, "abcdefghay")]
-    assert mapped(spark, ["abcdefgh"], names) == {"abcdefgh": None}
+def test_threshold_and_margin_decide(spark):
+    names = [(1, "abcdefghix"), (2, "abcdefghiy")]
+    assert mapped(spark, ["abcdefghiz"], names) == {"abcdefghiz": None}
+    assert mapped(spark, ["abcdefghiz"], names, margin=0.0) == {"abcdefghiz": 1}
     assert mapped(spark, ["same"], [(1, "same"), (2, "same")]) == {"same": None}
+    assert mapped(spark, ["Grozhiokrigen"], threshold=0.0, margin=0.0, reported=0.0)["Grozhiokrigen"] is not None
+
+
+def test_grams_and_scores(spark):
+    def sets(key):
+        p = f"^{key}$"
+        three = [p[i : i + 3] for i in range(len(p) - 2)]
+        return {p[i : i + 2] for i in range(len(p) - 1)} | set(three) | {g[0] + "_" + g[2] for g in three} | {"~" + "".join(sorted(g)) for g in three}
+
+    df = spark.createDataFrame([("abcab",), ("x",)], "key string")
+    assert {r.key: set(r.g) for r in df.select("key", K.grams(F.col("key")).alias("g")).collect()} == {k: sets(k) for k in ("abcab", "x")}
+    names = ["cadebe", "cabeda", "becada"]
+    count = {g: sum(g in sets(n) for n in names) for n in names for g in sets(n)}
+    weight = lambda g: math.log(4 / (1 + count[g])) + 1 if g in count else 1.0
+    norm = lambda k: math.sqrt(sum(weight(g) ** 2 for g in sets(k)))
+    cosine = lambda x, y: sum(weight(g) ** 2 for g in sets(x) & sets(y)) / norm(x) / norm(y)
+    v = spark.createDataFrame([("cabede",), ("dabeca",)], "entered string")
+    r = spark.createDataFrame(list(enumerate(names)), "target bigint, surface string")
+    for row in K.map_values(v, r, reported=0.0).collect():
+        want = sorted(((cosine(row.entered, n), -k) for k, n in enumerate(names)), reverse=True)
+        assert (row["first"], row.score, row.next_score) == (-want[0][1], pytest.approx(want[0][0]), pytest.approx(want[1][0]))
 
 
 def test_empty_list_and_no_values(spark):
