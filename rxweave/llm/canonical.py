@@ -52,14 +52,15 @@ def normalise(value: str) -> str:
 
 
 def grams(key: Column) -> Column:
-    """2-grams and 3-grams of the padded key, pairs of signs one apart, and 3-grams with their signs sorted: the last
-    two outlast a swap of neighbours. Each gram once."""
+    """2-grams and 3-grams of the padded key, pairs of signs one apart, 3-grams with their signs sorted, and the two ends
+    together: pairs and sorted grams outlast a swap of neighbours, and slips are rarest at the ends. Each gram once."""
     padded = F.concat(F.lit("^"), key, F.lit("$"))
     starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length(key) + 3 - n, F.lit(1)))
     plain = lambda n: F.transform(starts(n), lambda i: F.substr(padded, i, F.lit(n)))
     apart = F.transform(starts(3), lambda i: F.concat(F.substr(padded, i, F.lit(1)), F.lit("_"), F.substr(padded, i + 2, F.lit(1))))
     ordered = F.transform(plain(3), lambda g: F.concat(F.lit("~"), F.array_join(F.array_sort(F.split(g, "")), "")))
-    return F.array_distinct(F.concat(plain(2), plain(3), apart, ordered))
+    ends = F.array(F.concat(F.lit("|"), F.substr(key, F.lit(1), F.lit(2)), F.right(key, F.lit(2))))
+    return F.array_distinct(F.concat(plain(2), plain(3), apart, ordered, ends))
 
 
 def literal_values(text: str | None) -> list[str]:
@@ -87,19 +88,21 @@ def _keys(column: str):
 
 def postings(reference: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The inverted lists of ``reference`` (``target bigint, surface string``): ``gram, target, entry, weight``, vectors
-    scaled to length one; and ``gram, idf`` of every gram. Surfaces that are null or normalise to nothing are left out."""
+    scaled to length one; and ``gram, idf`` of every gram. ``gram`` is a 64-bit hash and ``entry`` a number. Surfaces
+    that are null or normalise to nothing are left out."""
     surfaces = reference.select(F.col("target").cast("bigint").alias("target"), "surface").dropna().distinct()
-    entries = materialised(surfaces.mapInArrow(_keys("surface"), "target bigint, surface string, key string").where("key != ''").select("target", F.col("key").alias("entry")).distinct())
-    number = entries.select("entry").distinct().count()
-    listed = entries.select("entry").distinct().select("entry", F.explode(grams(F.col("entry"))).alias("gram"))
+    entries = materialised(surfaces.mapInArrow(_keys("surface"), "target bigint, surface string, key string").where("key != ''").select("target", "key").distinct())
+    keys = materialised(entries.select("key").distinct().select("key", F.monotonically_increasing_id().alias("entry")))
+    number = keys.count()
+    listed = keys.select("entry", F.explode(grams(F.col("key"))).alias("g")).select("entry", F.xxhash64("g").alias("gram"))
     idf = materialised(listed.groupBy("gram").agg((F.ln((1.0 + number) / (1.0 + F.count(F.lit(1)))) + 1).alias("idf")))
     weighed = listed.join(idf, "gram")
     norms = weighed.groupBy("entry").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("norm"))
-    lists = weighed.join(norms, "entry").join(entries, "entry").select("gram", "target", "entry", (F.col("idf") / F.col("norm")).alias("weight"))
+    lists = weighed.join(norms, "entry").join(keys, "entry").join(entries, "key").select("gram", "target", "entry", (F.col("idf") / F.col("norm")).alias("weight"))
     return materialised(lists), idf
 
 
-def map_values(values: DataFrame, reference: DataFrame, threshold: float = 0.49, margin: float = 0.02, reported: float | None = None) -> DataFrame:
+def map_values(values: DataFrame, reference: DataFrame, threshold: float = 0.49, margin: float = 0.005, reported: float | None = None) -> DataFrame:
     """``entered, target, score, next_score, first`` for every distinct ``entered`` value; ``target`` is null if none is
     close enough, ``first`` is the closest one all the same.
 
@@ -117,12 +120,13 @@ def map_values(values: DataFrame, reference: DataFrame, threshold: float = 0.49,
     least = threshold - margin if reported is None else reported
     distinct = values.select("entered").where("entered is not null").distinct()
     keyed = materialised(distinct.mapInArrow(_keys("entered"), "entered string, key string"))
-    # spread by key: all that follows up to the best targets stays within these partitions
-    keys = spread(keyed.select("key").where("key != ''").distinct(), "key").select("key", grams(F.col("key")).alias("grams"))
-    seen = keys.select("key", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(near(idf), "gram")
+    # spread by key before anything else: all that follows up to the best targets stays within these partitions
+    keys = spread(keyed.select("key").where("key != ''"), "key").distinct().select("key", grams(F.col("key")).alias("grams"))
+    split = keys.select("key", F.size("grams").alias("size"), F.explode("grams").alias("g"))
+    seen = split.select("key", "size", F.xxhash64("g").alias("gram")).join(near(idf), "gram")
     # a gram outside the list has the weight 1
     norms = seen.groupBy("key").agg(F.sqrt(F.sum(F.col("idf") ** 2) + F.max("size") - F.count(F.lit(1))).alias("norm"))
-    dots = seen.join(near(lists), "gram").groupBy("key", "target", "entry").agg(F.sum(F.col("idf") * F.col("weight")).alias("dot"))
+    dots = seen.join(near(lists), "gram").groupBy("key", "entry", "target").agg(F.sum(F.col("idf") * F.col("weight")).alias("dot"))
     scores = dots.join(norms, "key").withColumn("score", F.col("dot") / F.col("norm")).where(F.col("score") >= least).groupBy("key", "target").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.round("score", 12)), "target"))
     two = scores.withColumn("place", place).where("place <= 2")

@@ -42,7 +42,7 @@ def test_grams_and_scores(spark):
     def sets(key):
         p = f"^{key}$"
         three = [p[i : i + 3] for i in range(len(p) - 2)]
-        return {p[i : i + 2] for i in range(len(p) - 1)} | set(three) | {g[0] + "_" + g[2] for g in three} | {"~" + "".join(sorted(g)) for g in three}
+        return {p[i : i + 2] for i in range(len(p) - 1)} | set(three) | {g[0] + "_" + g[2] for g in three} | {"~" + "".join(sorted(g)) for g in three} | {"|" + key[:2] + key[-2:]}
 
     df = spark.createDataFrame([("abcab",), ("x",)], "key string")
     assert {r.key: set(r.g) for r in df.select("key", K.grams(F.col("key")).alias("g")).collect()} == {k: sets(k) for k in ("abcab", "x")}
