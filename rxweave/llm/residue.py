@@ -1,10 +1,11 @@
 """Template residue and error pages: evidence in what remains of a record without recurrent boilerplate.
 
-1. Every text is split into lines and sentences. Slots left unfilled and filler are evidence wherever they stand.
-   A sentence that is wholly an error, access, waiting, maintenance or script message is evidence of an error page.
-2. Short lines are normalised (lower case, digits masked, names masked) and counted by host over all documents.
-3. A record is an error page if it has such a sentence and nothing else remains: the lines that recur on its host are
-   subtracted, what is left may be one title of a few words, but no sentence.
+1. Every text is split into lines. The lines, of any length, are normalised and counted by host over all different
+   texts; those on a large share of a host's texts are its boilerplate.
+2. Boilerplate is subtracted from every text of the host.
+3. The rest is searched for evidence. Slots left unfilled and filler are evidence wherever they stand. Sentences that
+   are wholly an error, access, waiting, maintenance or script message are evidence if nothing else remains but a
+   title of a few words or links.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import materialised
@@ -169,30 +170,16 @@ def message_at(sentence: str) -> int | None:
     return None
 
 
-def shape(line: str) -> str:
-    """A short line as it recurs: lower case, digits masked, capitalised words behind the first masked."""
-    words = line.split()
-    masked = [w if k == 0 or not w[:1].isupper() else "¤" for k, w in enumerate(words)]
-    if len(words) > 1 and words[1] == "/":
-        masked[0] = "¤"
-    return re.sub(r"\d", "0", " ".join(masked).lower())
-
-
-def read(text: str) -> tuple[bool, bool, bool, bool, list[str], list[str]]:
-    """Slot, filler and message evidence; whether a sentence of content remains; short lines; what is left of them.
+def read(text: str) -> tuple[bool, bool, bool, bool, int]:
+    """Slot, filler and message evidence; whether a sentence of content remains; how many words are left besides.
 
     Messages are looked for until a sentence of content is found, because beside content they are no evidence.
     """
     slot = SLOT_HINT.search(text) is not None and any(not NO_SLOT.fullmatch(m.group()) for m in SLOT.finditer(text))
     filler = message = content = False
-    short, left = [], []
+    left = 0
     for line in LINES.split(text):
-        line = line.strip()
-        if not line:
-            continue
-        if len(line) <= 120 and len(WORDS.findall(line)) <= TITLE_WORDS:
-            short.append(shape(line))
-        for sentence in SENTENCE_END.split(line):
+        for sentence in SENTENCE_END.split(line.strip()):
             core = sentence.strip(EDGES)
             if not core:
                 continue
@@ -204,51 +191,69 @@ def read(text: str) -> tuple[bool, bool, bool, bool, list[str], list[str]]:
             at = message_at(sentence)
             if at is not None:
                 message = True
-                if sentence[:at].strip(EDGES + ":"):
-                    left.append(shape(sentence[:at].strip()))
+                left += len(WORDS.findall(sentence[:at]))
                 continue
             if COMPANION.fullmatch(core):
                 continue
             count = len(WORDS.findall(core))
             if count > TITLE_WORDS or count >= 3 and sentence.rstrip("\"'”’) ")[-1:] in ".!?…":
                 content = True
-            elif count:
-                left.append(shape(core))
-    return slot, filler, message, content, short, left
+            else:
+                left += count
+    return slot, filler, message, content, left
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    strings = pa.list_(pa.string())
     for batch in batches:
-        made = [read(t) for t in batch.column("text").to_pylist()]
-        types = (pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), strings, strings)
-        names = ["slot", "filler", "message", "content", "short", "rest"]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array([m[k] for m in made], t) for k, t in enumerate(types))], names=["doc_id", "host", *names])
+        reasons = []
+        for text in batch.column("text").to_pylist():
+            slot, filler, message, content, left = read(text)
+            reasons.append("slot" if slot else "filler" if filler else "message" if message and not content and left <= TITLE_WORDS else None)
+        found = pa.array([k for k, r in enumerate(reasons) if r], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(found), pa.array([r for r in reasons if r], pa.string())], names=["doc_id", "reason"])
+
+
+def lines_of(text: Column) -> Column:
+    """The lines of a text, as they stand."""
+    return F.split(text, LINES.pattern)
+
+
+def normalised(line: Column) -> Column:
+    """The line as it recurs: white space squeezed, capitalised words behind the first masked, lower case, digits masked."""
+    squeezed = F.trim(F.regexp_replace(line, r"[\s\p{Z}]+", " "))
+    return F.regexp_replace(F.lower(F.regexp_replace(squeezed, r"(?<=\S )\p{Lu}\S*", "¤")), r"\p{Nd}", "0")
 
 
-def residue(docs: DataFrame, recurrent: int = 3) -> DataFrame:
+def boilerplate(docs: DataFrame, recurrent: int = 3, share: float = 0.05) -> DataFrame:
+    """``host, lines``: hashes of the normalised lines of any length that ``recurrent`` or more different texts of the
+    host have, and at least ``share`` of all its different texts. Every list has at most ``1 / share`` times as many lines
+    as the host's texts have on average. Blank lines don't count. A null host is a host of its own."""
+    pages = docs.select("host", "text", F.xxhash64("text").alias("page")).where("trim(text) != ''")
+    sizes = pages.select("host", "page").distinct().groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("pages"))
+    hashes = F.transform(F.filter(F.transform(lines_of(F.col("text")), normalised), lambda x: x != ""), lambda x: F.xxhash64(x))
+    counts = pages.select("host", "page", F.explode(F.array_distinct(hashes)).alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.where(F.col("n") >= recurrent).join(sizes, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") >= share * F.col("pages"))
+    return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
+
+
+#: Hosts up to which the lists of recurrent lines are broadcast; beyond it they are joined by a shuffle.
+MOST_HOSTS = 200_000
+
+
+def residue(docs: DataFrame, recurrent: int = 3, share: float = 0.05) -> DataFrame:
     """``doc_id, reason`` of every document to exclude; reason is ``slot``, ``filler`` or ``message``, the first that holds.
 
-    ``docs``: ``doc_id, host, text``; extra columns are ignored. A short line recurs when ``recurrent`` or more
-    documents of its host have it. A document whose only evidence is a message is excluded if, without the lines that
-    recur, no more than a title of eight words remains besides messages and links.
+    ``docs``: ``doc_id, host, text``; extra columns are ignored. First the lines that recur on the host are subtracted
+    (see ``boilerplate``), then evidence is looked for in the rest: a slot or filler anywhere, or messages with no more
+    than a title of eight words and links beside them. A text that is nothing but recurrent lines counts as it stands.
 
     Null, empty and blank texts are no case, whatever their number. A null host is a host of its own. Repeated rows
-    give repeated results. Very long texts are read whole. An empty table gives no rows.
+    give repeated results, and count once for recurrence. Very long texts are read whole. An empty table gives no rows.
     """
-    id_type, host_type = (dict(docs.dtypes)[c] for c in ("doc_id", "host"))
-    schema = f"doc_id {id_type}, host {host_type}, slot boolean, filler boolean, message boolean, content boolean, short array<string>, rest array<string>"
-    seen = materialised(docs.select("doc_id", "host", "text").where("trim(text) != ''").mapInArrow(_scanned, schema))
-    lines = seen.select("host", F.explode(F.array_distinct("short")).alias("line")).groupBy("host", "line").count().where(F.col("count") >= recurrent)
-    pages = seen.where("message and not content and not slot and not filler")
-    left = pages.select("doc_id", "host", F.explode("rest").alias("line"))
-    unexplained = (
-        left.join(lines.select(F.col("host").alias("h"), F.col("line").alias("l"), F.lit(True).alias("known")), F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left")
-        .where("known is null")
-        .groupBy("doc_id")
-        .agg(F.sum(F.size(F.split("line", " "))).alias("words"))
-        .where(F.col("words") > TITLE_WORDS)
-    )
-    messages = pages.join(unexplained, "doc_id", "left_anti").select("doc_id", F.lit("message").alias("reason"))
-    direct = seen.where("slot or filler").select("doc_id", F.when(F.col("slot"), "slot").otherwise("filler").alias("reason"))
-    return direct.unionByName(messages)
+    docs = docs.select("doc_id", "host", "text")
+    recurring = materialised(boilerplate(docs, recurrent, share)).withColumnRenamed("host", "h")
+    recurring = F.broadcast(recurring) if recurring.count() <= MOST_HOSTS else recurring
+    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda x: ~F.array_contains("lines", F.xxhash64(normalised(x)))), "\n")
+    rest = F.transform(F.array(kept), lambda k: F.when(F.trim(k) != "", k).otherwise(F.col("text")))[0]
+    left = docs.where("trim(text) != ''").join(recurring, F.col("host").eqNullSafe(F.col("h")), "left").select("doc_id", F.when(F.col("lines").isNull(), F.col("text")).otherwise(rest).alias("text"))
+    return left.mapInArrow(_scanned, f"doc_id {dict(docs.dtypes)['doc_id']}, reason string")

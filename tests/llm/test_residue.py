@@ -12,8 +12,8 @@ NO_PAGES = ["Access was denied to a student at the annex because the badge had e
 
 
 def kind(text):
-    slot, filler, message, content, _, _ = R.read(text)
-    return "slot" if slot else "filler" if filler else "message" if message and not content else None
+    slot, filler, message, content, left = R.read(text)
+    return "slot" if slot else "filler" if filler else "message" if message and not content and left <= R.TITLE_WORDS else None
 
 
 @pytest.mark.parametrize("kind_of, texts", [("slot", SLOTS), ("filler", FILLER), ("message", PAGES), (None, NO_SLOTS + NO_FILLER + NO_PAGES + [REAL])])
@@ -25,9 +25,9 @@ def test_filler_after_real_text():
     assert kind(REAL + "\nLorem ipsum dolor sit amet.") == "filler"
 
 
-def run(spark, rows):
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, host string, text string, count int")
-    return {r.doc_id: r.reason for r in R.residue(df).collect()}
+def run(spark, rows, **params):
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, host string, text string, count int, lines string")
+    return {r.doc_id: r.reason for r in R.residue(df, **params).collect()}
 
 
 def test_documents(spark):
@@ -37,6 +37,24 @@ def test_documents(spark):
 
 
 def test_recurrent_lines_are_subtracted(spark):
-    chrome = "Interactions of the week\nBrowse all leaflets\nLatest recalls and alerts\nOur newsletter"
-    rows = [(k, "site", f"{chrome}\n{REAL}") for k in range(3)] + [(10, "site", f"{chrome}\n404 Not Found."), (11, "elsewhere", f"{chrome}\n404 Not Found.")]
+    chrome = "Interactions of the week, chosen by the editors of the drug index for all readers\nBrowse all leaflets\nLatest recalls and alerts\nOur newsletter"
+    rows = [(k, "site", f"{chrome}\n{REAL} It was day {k} of {'abc'[k]}.") for k in range(3)] + [(10, "site", f"{chrome}\n404 Not Found."), (11, "elsewhere", f"{chrome}\n404 Not Found.")]
     assert run(spark, rows) == {10: "message"}
+    assert run(spark, rows, recurrent=10**9) == {}
+
+
+def test_slots_and_filler_in_boilerplate_are_no_case(spark):
+    footer = "Printed for {{ user }} at Ward 7\nContent goes here"
+    rows = [(k, None, f"{REAL} Note {'abcd'[k]}.\n{footer.replace('7', str(k))}") for k in range(4)] + [(9, None, f"{REAL} Dear {{{{ name }}}},\n{footer}"), (10, "h", f"{REAL}\n{footer}")]
+    assert run(spark, rows) == {9: "slot", 10: "slot"}
+    assert run(spark, rows, recurrent=10**9) == dict.fromkeys([0, 1, 2, 3, 9, 10], "slot")
+
+
+def test_a_host_of_nothing_but_one_error_page(spark):
+    rows = [(k, "dead", f"Access denied\nRequest id: {k}") for k in range(5)] + [(9, "dead", REAL)]
+    assert run(spark, rows) == dict.fromkeys(range(5), "message")
+
+
+def test_a_rare_line_is_no_boilerplate_and_repeated_texts_count_once(spark):
+    rows = [(k, "h", f"{REAL} Number {k} of series {chr(97 + k % 26)}{chr(97 + k // 26)}.") for k in range(90)] + [(100 + k, "h", f"404 Not Found.\nNumber {k}") for k in range(4)] + [(200 + k, "h", "Dear {{name}},") for k in range(8)]
+    assert run(spark, rows) == dict.fromkeys(range(100, 104), "message") | dict.fromkeys(range(200, 208), "slot")
