@@ -60,6 +60,13 @@ def p2_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.consensus(_votes(spark, sf_dir))[1]
 
 
+def p2_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dual objective after every round, what the round gained, and whether the fit had converged at the end."""
+    made = consensus.fit(_votes(spark, sf_dir))
+    rows = [(k + 1, x, x - made.objective[k - 1] if k else None, made.converged) for k, x in enumerate(made.objective)]
+    return spark.createDataFrame(rows, "round int, objective double, gain double, converged boolean")
+
+
 def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = consensus.agreement(_votes(spark, sf_dir))
     return got.select("items", "votes", F.round("agreeing_share", 6).alias("agreeing_share"), F.round("alpha", 6).alias("alpha"))
@@ -143,7 +150,7 @@ def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_agreement, p3_found, p3_pairs, p4_found, p4_unmatched, p5_found, p5_counts, p6_ids, p7_found, p7_clean, p8_found, p8_reasons)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_rounds, p2_agreement, p3_found, p3_pairs, p4_found, p4_unmatched, p5_found, p5_counts, p6_ids, p7_found, p7_clean, p8_found, p8_reasons)}
 
 
 SPACES = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}\x{FEFF}]"

@@ -59,6 +59,57 @@ def test_an_item_with_a_third_of_all_votes(spark):
     assert got[1] == "Severe" and got[2] == "Mild" and len(got) == 1801
 
 
+def test_objective_rises_and_converges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"ann_{w}", C.LABELS[int(rng.integers(3)) if rng.random() < 0.3 else i % 3]) for i in range(150) for w in rng.choice(7, 4, replace=False)]
+    made = C.fit(votes(spark, rows), tolerance=1e-4)
+    assert made.converged and len(made.objective) > 2
+    assert all(b >= a - 1e-9 for a, b in zip(made.objective, made.objective[1:]))
+    cut = C.fit(votes(spark, rows), rounds=2)
+    assert not cut.converged and len(cut.objective) == 1
+
+
+def test_damped_steps_never_lower_the_dual():
+    rng = np.random.default_rng(0)
+    counts, tilt = rng.integers(0, 40, (500, 3)).astype(float), rng.normal(0, 3, (500, 3))
+    value = lambda t: (counts * C._log_chance(t)).sum(1) - 0.5 * (t**2).sum(1)
+    for _ in range(20):
+        p = np.exp(C._log_chance(tilt))
+        slope = counts - counts.sum(1, keepdims=True) * p - tilt
+        bend = counts.sum(1)[:, None, None] * (p[..., None] * np.eye(3) - p[..., None] * p[:, None, :]) + np.eye(3)
+        new = tilt + C.damped_step(slope, bend)
+        assert (value(new) >= value(tilt) - 1e-9).all()
+        tilt = new
+    assert np.abs(slope).max() < 1e-3
+
+
+def test_item_tilts_help_with_misleading_items(spark):
+    """Every fifth item pulls all annotators to one and the same wrong label; the two good ones resist, the many weak ones don't."""
+    rng = np.random.default_rng(3)
+    truth, rows = {}, []
+    for item in range(300):
+        truth[item] = int(rng.integers(3))
+        pull = np.zeros(3)
+        pull[(truth[item] + 1) % 3] = 2.2 if item % 5 == 0 else 0
+        for who in range(14):
+            own = np.zeros(3)
+            own[truth[item]] = 4.5 if who < 2 else 1.2
+            chance = np.exp(own + pull)
+            rows.append((item, f"ann_{who}", C.LABELS[int(rng.choice(3, p=chance / chance.sum()))]))
+    score = {p: np.mean([C.LABELS[truth[r.item]] == r.label for r in C.consensus(votes(spark, rows), item_penalty=p, tolerance=1e-3)[0].collect()]) for p in (3.0, 1e9)}
+    assert score[3.0] > score[1e9] + 0.05
+
+
+def test_annotators_in_a_table_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"ann_{w}", C.LABELS[(i + int(rng.random() < 0.3)) % 3]) for i in range(60) for w in rng.choice(5, 3, replace=False)]
+    want = {r.item: (r.label, pytest.approx(r.confidence, abs=1e-6)) for r in C.consensus(votes(spark, rows), rounds=4)[0].collect()}
+    monkeypatch.setattr(C, "MOST_ANNOTATORS", 2)
+    items, annotators = C.consensus(votes(spark, rows), rounds=4)
+    assert {r.item: (r.label, r.confidence) for r in items.collect()} == want
+    assert sum(r.votes for r in annotators.collect()) == len(rows)
+
+
 def test_agreement(spark):
     rows = [(1, "a", "Mild"), (1, "b", "Mild"), (2, "a", "Mild"), (2, "b", "Severe"), (3, "a", "Severe"), (4, "a", None), (4, "b", "Mild")]
     r = C.agreement(votes(spark, rows)).first()
