@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import materialised
+
 WORD = re.compile(r"[^\W_]+")
+#: Words of items in one automaton: about a hundred bytes each in the driver and in every Python worker.
+BLOCK_WORDS = 1_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -46,8 +51,25 @@ class Automaton:
                 while up > 0 and item not in owners[up]:
                     owners[up].add(item)
                     up = self.link[up]
-        # items whose longest run in a state is that state's: those of the state, tuples for sharing
-        self.items = [tuple(sorted(o)) if n >= least else () for o, n in zip(owners, self.len)]
+        self._pack(owners)
+
+    def _pack(self, owners: list[set[int]]) -> None:
+        """Flat arrays in place of a dictionary and a set per state: most states have one way on, and share their items."""
+        self.only = array("i", (next(iter(m)) if len(m) == 1 else -1 for m in self.next))
+        self.to = array("i", (next(iter(m.values())) if len(m) == 1 else -1 for m in self.next))
+        self.ways = {state: m for state, m in enumerate(self.next) if len(m) > 1}
+        self.link, self.len = array("i", self.link), array("i", self.len)
+        groups: dict[tuple[int, ...], int] = {(): 0}
+        self.group = array("i", (groups.setdefault(tuple(sorted(o)) if n >= self.least else (), len(groups)) for o, n in zip(owners, self.len)))
+        self.groups = list(groups)
+        del self.next
+
+    def move(self, state: int, w: int) -> int:
+        """The state that the word leads to, -1 if there is none."""
+        if self.only[state] == w:
+            return self.to[state]
+        ways = self.ways.get(state)
+        return -1 if ways is None else ways.get(w, -1)
 
     def _new(self, length: int, link: int, moves: dict[int, int]) -> int:
         self.next.append(moves)
@@ -80,18 +102,19 @@ class Automaton:
         """Per item the longest run in common, if it has ``least`` words; and the spans of words covered by such runs."""
         found: dict[int, int] = {}
         spans: list[tuple[int, int]] = []
-        number, moves, link, lens, least = self.number, self.next, self.link, self.len, self.least
+        number, move, link, lens, least = self.number, self.move, self.link, self.len, self.least
         state = length = 0
         for at, word in enumerate(words):
             w = number.get(word)
             if w is None:
                 state = length = 0
                 continue
-            while state and w not in moves[state]:
+            to = move(state, w)
+            while to < 0 and state:
                 state = link[state]
                 length = lens[state]
-            to = moves[state].get(w)
-            if to is None:
+                to = move(state, w)
+            if to < 0:
                 length = 0
                 continue
             state = to
@@ -100,7 +123,7 @@ class Automaton:
                 up, run = state, length
                 while up > 0 and lens[up] >= least:
                     run = min(run, lens[up])
-                    for item in self.items[up]:
+                    for item in self.groups[self.group[up]]:
                         if found.get(item, 0) < run:
                             found[item] = run
                     up = link[up]
@@ -142,7 +165,7 @@ def _found(shared):
     return run
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, least: int = 10, block_words: int = 2_000_000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, least: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, item_id, longest``: the documents that share a run of at least ``least`` words with an item.
 
     ``docs``: ``doc_id, text``; ``items``: ``item_id, text``; extra columns are ignored. Words are lower-cased runs of
@@ -160,10 +183,19 @@ def leaked_items(docs: DataFrame, items: DataFrame, least: int = 10, block_words
     return out.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"))
 
 
-def strip_spans(text: str, automaton: Automaton, most_coverage: float) -> tuple[str, float, int, str | None]:
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def strip_spans(text: str, placed: list[tuple[str, int, int]], spans: list[tuple[int, int]], most_coverage: float) -> tuple[str, float, int, str | None]:
     """What to do with a text, the share of its words that leaked, the number of spans, and the text without them."""
-    placed = placed_words(text)
-    spans = automaton.matches([w for w, _, _ in placed])[1]
     covered = sum(b - a for a, b in spans)
     coverage = covered / len(placed) if placed else 0.0
     if not spans:
@@ -177,11 +209,30 @@ def strip_spans(text: str, automaton: Automaton, most_coverage: float) -> tuple[
     return "strip", coverage, len(spans), "".join(kept) + text[at:]
 
 
-def _stripped(shared, most_coverage: float):
+def _spans(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: Automaton = shared.value
         for batch in batches:
-            made = [("keep", 0.0, 0, t) if t is None else strip_spans(t, automaton, most_coverage) for t in batch.column("text").to_pylist()]
+            found = [automaton.matches(words_of(t))[1] for t in batch.column("text").to_pylist()]
+            at = [k for k, spans in enumerate(found) for _ in spans]
+            ends = [pa.array([s[side] for spans in found for s in spans], pa.int32()) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), *ends], names=["row", "a", "b"])
+
+    return run
+
+
+def _cut(most_coverage: float, shared=None):
+    """Documents without their spans: those of ``shared``'s automaton, or else those in the columns ``a`` and ``b``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            texts = batch.column("text").to_pylist()
+            given = [None] * len(texts) if shared else batch.column("spans").to_pylist()
+            for text, spans in zip(texts, given):
+                placed = [] if text is None else placed_words(text)
+                spans = shared.value.matches([w for w, _, _ in placed])[1] if shared else [(s["a"], s["b"]) for s in spans or ()]
+                made.append(strip_spans(text, placed, merged(spans), most_coverage))
             types = (pa.string(), pa.float64(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array([m[k] for m in made], t) for k, t in enumerate(types))], names=["doc_id", "action", "coverage", "spans", "text"]
@@ -190,17 +241,23 @@ def _stripped(shared, most_coverage: float):
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, least: int = 10, most_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, least: int = 10, most_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, action, coverage, spans, text`` for every document.
 
     Spans of at least ``least`` words in common with an item are cut out (``strip``); a document with more than
     ``most_coverage`` of its words in such spans is given up (``drop``, text null); all others stay (``keep``).
-    Null texts are kept. The items' automaton is one broadcast; test sets beyond its bound must be passed in parts.
+    Null texts are kept. Items beyond ``block_words`` words make several automata: the documents are streamed along each,
+    and the spans of all are put together before anything is cut.
     """
-    automata = _automata(items, least, 2_000_000)
-    if len(automata) > 1:
-        raise ValueError("more than 2,000,000 words of test items: pass them in parts")
-    automaton = automata[0] if automata else Automaton([], least)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    id_type = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_stripped(shared, most_coverage), f"doc_id {id_type}, action string, coverage double, spans int, text string")
+    automata = _automata(items, least, block_words) or [Automaton([], least)]
+    spark = docs.sparkSession
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, action string, coverage double, spans int, text string"
+    if len(automata) == 1:
+        return docs.select("doc_id", "text").mapInArrow(_cut(most_coverage, spark.sparkContext.broadcast(automata[0])), schema)
+    rows = materialised(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    found = None
+    for automaton in automata:
+        part = rows.where("text is not null").select("row", "text").mapInArrow(_spans(spark.sparkContext.broadcast(automaton)), "row bigint, a int, b int")
+        found = part if found is None else found.unionByName(part)
+    spans = found.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut(most_coverage), schema)

@@ -188,5 +188,29 @@ chance AS (SELECT sum(n * (n - 1)) AS e FROM shares)
 SELECT items, total::BIGINT AS votes, round(o / total, 6) AS agreeing_share, round((o / total - e / (total * (total - 1))) / (1 - e / (total * (total - 1))), 6) AS alpha FROM seen, chance"""
 
 
+# every pair by brute force, over the words they have in common
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+RECORDS = f"""records AS (
+    SELECT 'conflicts' AS source, id AS text_id, max(text) AS text, max(split_name) AS split FROM conflicts WHERE id IS NOT NULL GROUP BY id
+    UNION ALL SELECT 'keyword_smoke10', x.text_id, max(x.drugbank_description), max(split_name) FROM (SELECT unnest(interactions) AS x, split_name FROM keyword_smoke10) WHERE x.text_id IS NOT NULL GROUP BY x.text_id
+), sets AS (SELECT source, text_id, split, list_distinct({WORDS}) AS ws FROM records),
+w AS (SELECT source, text_id, split, len(ws) AS n, unnest(ws) AS w FROM sets)"""
+SHARED = "count(*) * 1.0 / (any_value(a.n) + any_value(b.n) - count(*))"
+P1_FOUND = f"""WITH {RECORDS}
+SELECT a.text_id AS text_id_a, b.text_id AS text_id_b FROM w a JOIN w b ON a.w = b.w AND a.source = b.source AND a.text_id < b.text_id
+GROUP BY a.source, a.text_id, b.text_id HAVING 10 * count(*) >= 6 * (any_value(a.n) + any_value(b.n) - count(*))"""
+OVERLAPS = f"""{RECORDS}, found AS (
+    SELECT a.source AS train_source, a.text_id AS train_id, b.source AS eval_source, b.text_id AS eval_id, b.split AS eval_split, {SHARED} AS jaccard
+    FROM w a JOIN w b ON a.w = b.w AND a.split = 'train' AND b.split IN ('val', 'test')
+    GROUP BY ALL HAVING 10 * count(*) >= 6 * (any_value(a.n) + any_value(b.n) - count(*)))"""
+P5_FOUND = f"WITH {OVERLAPS} SELECT least(train_id, eval_id) AS text_id_a, greatest(train_id, eval_id) AS text_id_b FROM found"
+P5_COUNTS = f"""WITH {OVERLAPS} SELECT eval_split, eval_source, train_source, count(*) AS pairs, count(DISTINCT eval_id) AS eval_records,
+    count(DISTINCT train_id) AS train_records, count(*) FILTER (jaccard = 1) AS same_words FROM found GROUP BY 1, 2, 3"""
+# every run of ten words on either side
+RUNS = "SELECT DISTINCT {key}, array_to_string(w[i:i + 9], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {key}, {words} AS w FROM {table} WHERE {key} IS NOT NULL AND text IS NOT NULL))"
+P7_FOUND = f"""WITH d AS ({RUNS.format(key="doc_id", words=WORDS, table="documents")}), t AS ({RUNS.format(key="item_id", words=WORDS, table="test_items")})
+SELECT DISTINCT doc_id, item_id FROM d JOIN t USING (run)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_agreement": P2_AGREEMENT, "p3_found": P3_FOUND, "p3_pairs": P3_PAIRS}
+    return {"p1_found": P1_FOUND, "p5_found": P5_FOUND, "p5_counts": P5_COUNTS, "p7_found": P7_FOUND, "p2_agreement": P2_AGREEMENT, "p3_found": P3_FOUND, "p3_pairs": P3_PAIRS}

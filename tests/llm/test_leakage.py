@@ -51,3 +51,14 @@ def test_decontamination(spark):
     got = {r.doc_id: (r.action, r.spans, r.text) for r in L.decontaminate(d, i).collect()}
     assert got[1] == ("strip", 1, "Keep this. ! And quite a lot of other text that stays in the document as it was.")
     assert got[2] == ("drop", 1, None) and got[3] == ("keep", 0, "clean") and got[4] == ("keep", 0, None)
+
+
+def test_blocks_of_items_cut_the_same_spans(spark):
+    rng = random.Random(2)
+    items = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randrange(4, 30)))) for k in range(25)]
+    docs = [(k // 2, " ".join(rng.choice("abcdxyz") for _ in range(rng.randrange(0, 80)))) for k in range(60)] + [(99, None)]
+    d = spark.createDataFrame([(*x, "r") for x in docs], "doc_id bigint, text string, row string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = lambda **params: sorted(map(repr, L.decontaminate(d, i, least=4, **params).collect()))
+    assert rows(block_words=40) == rows()
+    assert len({r.action for r in L.decontaminate(d, i, least=4).collect()}) > 1
