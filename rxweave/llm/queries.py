@@ -85,9 +85,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair in at least 5 prescriptions, with its association scores."""
+    """Every pair in at least 5 prescriptions, with its association scores; lists of more than 4 entries go by chunk pairs."""
     entries, baskets = _prescribed(spark, sf_dir)
-    pairs = cooccurrence.associations(entries, baskets, least=5)
+    pairs = cooccurrence.associations(entries, baskets, least=5, block=4)
     return pairs.select("a", "b", "together", "n_a", "n_b", *(F.round(c, 6).alias(c) for c in ("lift", "pmi", "npmi", "jaccard", "g2")))
 
 
@@ -125,6 +125,12 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"), *tokenize.tokenizer_file())
 
 
+def p6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, with leaves so short that most documents are put together from a tree of them."""
+    made = tokenize.encode_corpus(table(spark, sf_dir, "documents"), *tokenize.tokenizer_file(), leaf_chars=128)
+    return made.select("doc_id", F.size("ids").alias("tokens"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items")).select("doc_id", "item_id")
 
@@ -150,7 +156,7 @@ def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_rounds, p2_agreement, p3_found, p3_pairs, p4_found, p4_unmatched, p5_found, p5_counts, p6_ids, p7_found, p7_clean, p8_found, p8_reasons)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_annotators, p2_rounds, p2_agreement, p3_found, p3_pairs, p4_found, p4_unmatched, p5_found, p5_counts, p6_ids, p6_lengths, p7_found, p7_clean, p8_found, p8_reasons)}
 
 
 SPACES = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}\x{FEFF}]"

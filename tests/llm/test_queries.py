@@ -22,3 +22,8 @@ def test_query_runs_with_its_columns(spark, data, name):
     assert df.columns == COLUMNS.get(name, df.columns)
     got = [tuple(map(repr, r)) for r in df.collect()]
     assert len(got) == len(set(got))
+
+
+def test_tree_and_whole_texts_have_the_same_lengths(spark, data):
+    whole = {r.doc_id: len(r.ids) for r in queries()["p6_ids"](spark, data).collect()}
+    assert {r.doc_id: r.tokens for r in queries()["p6_lengths"](spark, data).collect()} == whole
