@@ -48,7 +48,13 @@ CUES = {
     "gi_only": r"gastrointestinal irritation|gastric irritation",
     "severe_event": r"neuromuscular block|paralysis|apnea|anaphylaxis|hypersensitivity|respiratory depress|respiratory failure|coma|seizure|convulsion|thrombosis|thromboembol|methemoglobinemia|angioedema",
 }
-MINOR_AGENTS = "castor oil|sennosides|tadalafil|domperidone|dantron|beraprost|neosaxitoxin|magnesium"
+# Patterns of descriptions that are mild by themselves, case-insensitive.
+MILD_PATTERNS = (
+    "gastrointestinal irritation",
+    "may decrease the (sedative|hypertensive)",
+    "hypertension can be decreased",
+    r"therapeutic efficacy of (castor oil|sennosides|tadalafil|domperidone|dantron|beraprost|neosaxitoxin|magnesium)\b",
+)
 
 # The trained gate.
 FEATURES = (
@@ -132,15 +138,9 @@ def cue(description: Column, name: str) -> Column:
 
 def is_genuinely_mild(description: Column) -> Column:
     text = F.coalesce(description, F.lit(""))
-    rules = (
-        "(?i)gastrointestinal irritation",
-        "(?i)may decrease the (sedative|hypertensive)",
-        "(?i)hypertension can be decreased",
-        rf"(?i)therapeutic efficacy of ({MINOR_AGENTS})\b",
-    )
     out = cue(description, "excretion") & ~cue(description, "serum")
-    for rule in rules:
-        out = out | text.rlike(rule)
+    for pattern in MILD_PATTERNS:
+        out = out | text.rlike(f"(?i){pattern}")
     return out
 
 

@@ -19,9 +19,10 @@ STOPWORDS = (
 CONNECTORS = ("and", "with", "plus", "or")
 # Units, dosage forms, frequencies, release modifiers.
 UNITS = "mg|g|mcg|µg|ug|ml|l|iu|units?|meq|mmol"
-FORMS = r"tablets?|tabs?\.?|capsules?|caps?\.?|syrups?|suspensions?|susp\.?|injections?|inj\.?|drops?|ointments?|creams?|gels?|solutions?|lotions?|powders?|sachets?|patches?|sprays?|inhalers?|rotacaps?|respules?|suppository|suppositories"
+FORMS = r"tablets?|tabs?\.?|capsules?|caps?\.?|syrups?|suspensions?|susp\.?|injections?|inj\.?|drops?|ointments?|creams?|gels?|solutions?|lotions?|powders?|sachets?|patches?|sprays?|inhalers?|rotacaps?|respules?|suppositor(?:y|ies)"
 FREQUENCIES = r"twice|thrice|once|daily|weekly|monthly|hourly|qid|qds|tid|tds|bid|bd|od|qhs|hs|sos|prn|q\d+h?|morning|evening|night|bedtime|breakfast|lunch|dinner|meals?|food|before|after|empty\s+stomach"
 MODIFIERS = "xl|xr|sr|er|mr|cr|ds|odt|forte"
+# Modifiers that may be dropped, what a suffix of a name stands for, delimiters, junk, registry numbers.
 SAFE_MODIFIERS = ("xl", "xr", "sr", "er", "cr", "ds", "odt", "la", "pr")
 SUFFIX_AGENTS = {"am": "amlodipine", "h": "hydrochlorothiazide", "m": "metformin", "d": "domperidone"}
 SUFFIX_DROPPED = ("plus", "ls", "ln")

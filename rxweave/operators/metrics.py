@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,16 +111,42 @@ def describe(rows: DataFrame, value: str, keys: list[str] | None = None) -> Data
     )
 
 
-def bootstrap(rows: DataFrame, key: str, hit: Column, draws: int, seed: int) -> DataFrame:
-    """``mean, low, high`` of the mean of ``hit`` over Poisson bootstrap samples.
+def _resampled(cells: DataFrame, columns: list[str], draws: int, seed: int, statistics: Callable[[pd.DataFrame, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+    """``metric, mean, low, high, above`` over ``draws`` bootstrap samples; ``above`` is the share of draws above 0.
 
-    Every row takes part in every draw with a Poisson(1) weight hashed from draw, seed and key, so no sample is ever
-    formed: one pass, partial sums per draw. Weights follow the inverse distribution function up to 7.
+    Resampling n rows with replacement gives every cell of equal rows a multinomial count, so samples are drawn from the
+    cells' counts ``n`` and no row is ever repeated. Cells are few: one for every combination of labels.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(key)), F.lit(2**31)) / float(2**31)
-    # Cumulative Poisson(1) probabilities.
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
-    weight = sum((u > s).cast("int") for s in steps)
-    drawn = rows.select(key, hit.cast("double").alias("hit"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    per = drawn.withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("w") * F.col("hit")) / F.sum("w")).alias("m"))
-    return per.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(columns, ignore_index=True)
+        total = int(pdf["n"].sum())
+        drawn = np.random.default_rng(seed).multinomial(total, pdf["n"].to_numpy(float) / total, draws)
+        made = statistics(pdf, drawn)
+        return pd.DataFrame([(k, v.mean(), *np.percentile(v, [2.5, 97.5]), (v > 0).mean()) for k, v in made.items()], columns=["metric", "mean", "low", "high", "above"])
+
+    return cells.groupBy().applyInPandas(run, "metric string, mean double, low double, high double, above double")
+
+
+def bootstrap(rows: DataFrame, value: Column, draws: int, seed: int) -> DataFrame:
+    """``mean, low, high, above`` of the mean of ``value``, which has few different values, over bootstrap samples of the
+    rows. Nulls don't count; without rows there is no result."""
+    cells = rows.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    return _resampled(cells, ["v"], draws, seed, lambda pdf, drawn: {"mean": drawn @ pdf["v"].to_numpy() / drawn.sum(1)}).drop("metric")
+
+
+def bootstrap_classes(rows: DataFrame, truth: str, found: str, positive: list[str], draws: int, seed: int) -> DataFrame:
+    """``metric, mean, low, high`` of ``accuracy``, ``macro_f1`` over the labels of the truth or the finding, and
+    ``binary_f1`` of ``positive`` labels against the others. Rows with a null on either side don't count."""
+    cells = rows.select(F.col(truth).alias("t"), F.col(found).alias("f")).dropna().groupBy("t", "f").agg(F.count(F.lit(1)).alias("n"))
+
+    def f1(drawn: np.ndarray, t: np.ndarray, f: np.ndarray) -> np.ndarray:
+        return 2 * drawn[:, t & f].sum(1) / np.maximum(1, drawn[:, t].sum(1) + drawn[:, f].sum(1))
+
+    def statistics(pdf: pd.DataFrame, drawn: np.ndarray) -> dict[str, np.ndarray]:
+        t, f = pdf["t"].to_numpy(), pdf["f"].to_numpy()
+        labels = sorted(set(t) | set(f))
+        macro = np.mean([f1(drawn, t == x, f == x) for x in labels], 0)
+        return {"accuracy": drawn[:, t == f].sum(1) / drawn.sum(1), "macro_f1": macro, "binary_f1": f1(drawn, np.isin(t, positive), np.isin(f, positive))}
+
+    return _resampled(cells, ["t", "f"], draws, seed, statistics).drop("above")

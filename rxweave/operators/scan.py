@@ -30,11 +30,14 @@ def candidates(rows: DataFrame, key: str, words: str, most: int) -> DataFrame:
     return kept.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).select(key, "n", "at", joined.alias("candidate"))
 
 
-def dictionary(rows: DataFrame, key: str, words: str, keys: DataFrame, longest: int = 2) -> DataFrame:
+def dictionary(rows: DataFrame, key: str, words: str, keys: DataFrame, longest: int | None = None) -> DataFrame:
     """``key column, at, n, key``: entries of a dictionary in each record, leftmost longest first, without overlaps.
 
-    The n-grams are joined to the dictionary, and a fold over each record's few hits drops what overlaps.
+    The n-grams, up to the longest entry's number of words, are joined to the dictionary, and a fold over each record's
+    few hits drops what overlaps. Entries are words joined by single blanks.
     """
+    if longest is None:  # when the plan is built: one number
+        longest = keys.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
     g = grams(rows, key, words, longest).select(key, "at", "n", F.array_join("words", " ").alias("key"))
     hits = g.join(keys.select("key").distinct(), "key").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("m"), "key"))).alias("hits"))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,n:int,key:string>>").alias("kept"))
@@ -78,6 +81,11 @@ def split_combos(rows: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select("mention", fragments.alias("fragments"))
 
 
+def literally(text: Column) -> Column:
+    """A pattern that stands for the text itself."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def brand_texts(rx: DataFrame, reference: DataFrame) -> DataFrame:
     """``prescription_id, substituted, text``: every name of the list in a prescription replaced by its first brand.
 
@@ -86,27 +94,64 @@ def brand_texts(rx: DataFrame, reference: DataFrame) -> DataFrame:
     brands = reference.where(F.size("brand_names") > 0).select(F.lower("drug_name").alias("g"), F.col("brand_names")[0].alias("brand"))
     names = rx.select("prescription_id", F.explode("drugs").alias("drug")).where("drug is not null").select("prescription_id", T.name_key(F.col("drug")).alias("g")).distinct()
     subs = names.join(brands, "g").groupBy("prescription_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("g")).alias("k"), "g", "brand"))).alias("subs"))
-    put = F.reduce(F.coalesce("subs", F.array().cast("array<struct<k:int,g:string,brand:string>>")), F.col("prescription_text"), lambda t, s: F.regexp_replace(t, F.concat(F.lit(r"(?i)\b"), s["g"], F.lit("(?![A-Za-z])")), s["brand"]))
+    put = F.reduce(F.coalesce("subs", F.array().cast("array<struct<k:int,g:string,brand:string>>")), F.col("prescription_text"), lambda t, s: F.regexp_replace(t, F.concat(F.lit(r"(?i)\b"), literally(s["g"]), F.lit("(?![A-Za-z])")), F.regexp_replace(s["brand"], r"([\\$])", r"\\$1")))
     joined = rx.select("prescription_id", "prescription_text").join(subs, "prescription_id", "left")
     return joined.select("prescription_id", F.coalesce(F.size("subs"), F.lit(0)).cast("bigint").alias("substituted"), put.alias("text"))
 
 
+# What scanners read for some letters, for two whole words, and the strength of a drug.
+CONFUSIONS = {"e": "c", "rn": "m", "0": "O"}
+CONFUSED_WORDS = {"daily": "daiIy", "vitamin": "v1tam1n"}
+STRENGTH = r"\s*\b\d+(?:\.\d+)?\s*(?:mg|mcg|µg|ug|g|ml|iu|units?|%)\b"
+#: White space of any kind, as a character class that Java and RE2 read alike.
+BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+
+
 def noise_letters(key: Column, text: Column) -> Column:
-    """Up to two of the letters ``e`` and ``0`` replaced by ``c`` and ``O``, at places chosen by the hash of key and place."""
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(1)).isin("e", "0"))
-    chosen = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(F.md5(F.concat_ws("|", key.cast("string"), i.cast("string"))).alias("h"), i.alias("i")))), 1, 2)
-    swap = lambda t, i: F.concat(F.substr(t, F.lit(1), i - 1), F.translate(F.substr(t, i, F.lit(1)), "e0", "cO"), F.substr(t, i + 1))
-    return F.reduce(chosen, text, lambda t, p: swap(t, p["i"]))
+    """Up to two confusions of ``CONFUSIONS``, at places chosen by the hash of key and place."""
+    at = lambda i: F.when(F.substr(text, i, F.lit(2)) == "rn", F.lit("rn")).otherwise(F.substr(text, i, F.lit(1)))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: at(i).isin(*CONFUSIONS))
+    hashed = F.array_sort(F.transform(places, lambda i: F.struct(F.md5(F.concat_ws("|", key.cast("string"), i.cast("string"))).alias("h"), i.alias("i"))))
+    last_first = F.sort_array(F.transform(F.slice(hashed, 1, 2), lambda p: p["i"]), asc=False)
+
+    def confused(t: Column, i: Column) -> Column:
+        read = F.create_map(*(F.lit(x) for kv in CONFUSIONS.items() for x in kv))
+        return F.concat(F.substr(t, F.lit(1), i - 1), read[at(i)], F.substr(t, i + F.length(at(i))))
+
+    return F.reduce(last_first, text, confused)
+
+
+def noise_glued(text: Column, names: Column) -> Column:
+    """Lower case, doses glued to the given names and then to any word before, and two scanner confusions."""
+    glue = lambda t, s: F.regexp_replace(t, F.concat(literally(s), F.lit(rf"{BLANK}+(?=\d)")), F.regexp_replace(s, r"([\\$])", r"\\$1"))
+    own = F.reduce(_longest_first(names), F.lower(text), glue)
+    out = F.regexp_replace(own, rf"([a-z]){BLANK}+(\d+{BLANK}*(?:mg|mcg|g|ml|iu)\b)", "$1$2")
+    for word, read in CONFUSED_WORDS.items():
+        out = F.replace(out, F.lit(word), F.lit(read))
+    return out
+
+
+def _longest_first(names: Column) -> Column:
+    """Distinct lower-cased names that are not empty, longest first, then by name."""
+    kept = F.array_distinct(F.transform(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != ""), F.lower))
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"])
 
 
-def noise_glued(text: Column) -> Column:
-    """Lower case, doses glued to the word before, and two scanner confusions."""
-    glued = F.regexp_replace(F.lower(text), r"([a-z])[ \t]+(\d+\s*(mg|mcg|g|ml|iu)\b)", "$1$2")
-    return F.replace(F.replace(glued, F.lit("daily"), F.lit("daiIy")), F.lit("vitamin"), F.lit("v1tam1n"))
+def _cut_line(line: Column, names: Column) -> Column:
+    """A line up to its last name and three words more, a line without a name up to its third word; cuts end with dots."""
+    ends = F.transform(names, lambda s: F.when(F.instr(F.lower(line), s) > 0, F.instr(F.lower(line), s) - 1 + F.length(s)).otherwise(0))
+    end = F.coalesce(F.array_max(ends), F.lit(0))
+    tail = F.filter(F.split(F.substr(line, end + 1), f"{BLANK}+"), lambda w: w != "")
+    head = F.substr(line, F.lit(1), end)
+    return F.when(F.size(tail) > 3, F.concat(head, F.array_join(F.slice(tail, 1, 3), " "), F.lit(" ..."))).otherwise(line)
 
 
-def noise_dropped(key: Column, text: Column, prefixes: tuple[str, ...]) -> Column:
-    """An opening chosen by the key's hash before the text without its doses."""
+def noise_dropped(key: Column, text: Column, names: Column, prefixes: tuple[str, ...]) -> Column:
+    """An opening chosen by the key's hash before the text without its doses, each line cut behind its last name; if a
+    name were lost that way, no line is cut."""
     number = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % len(prefixes)
     opening = F.element_at(F.array(*map(F.lit, prefixes)), (number + 1).cast("int"))
-    return F.concat(opening, F.regexp_replace(text, r"(?i)\s*\b\d+(\.\d+)?\s*(mg|mcg|µg|ug|g|ml|iu|units?|%)", ""))
+    whole = F.concat(opening, F.regexp_replace(text, f"(?i){STRENGTH}", ""))
+    wanted = _longest_first(names)
+    cut = F.array_join(F.transform(F.split(whole, "\n"), lambda line: _cut_line(line, wanted)), "\n")
+    return F.when(F.exists(wanted, lambda s: ~F.contains(F.lower(cut), s)), whole).otherwise(cut)

@@ -12,17 +12,18 @@ from ..plans.prefix import hash_order, numbered
 def folds(rows: DataFrame, key: str, label: str, k: int, seed: int) -> DataFrame:
     """``rows`` with ``fold``: within each label, rows in hashed order are dealt out in turn.
 
-    The window runs per label and hash bucket, with the sizes of earlier buckets added, so a label with a third of all
-    rows is never in one task.
+    The window runs per label and hash bucket, as many as the session's shuffles have partitions, with the sizes of
+    earlier buckets added, so a label with a third of all rows is never in one task.
     """
     order = hash_order(F.lit(str(seed)), F.col(key).cast("string"))
-    placed = rows.withColumn("_h", order).withColumn("_b", F.floor(F.col("_h") / F.lit(2**60 // 64)).cast("int"))
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.withColumn("_h", order).withColumn("_b", F.floor(F.col("_h") / F.lit(2**60 // buckets)).cast("int"))
     sizes = placed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(label, "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_o"))
     within = Window.partitionBy(label, "_b").orderBy("_h", key)
     number = F.row_number().over(within) + F.col("_o") - 1
-    return placed.join(F.broadcast(offsets), [label, "_b"]).select(*rows.columns, (number % k).cast("int").alias("fold"))
+    return placed.join(offsets, [label, "_b"]).select(*rows.columns, (number % k).cast("int").alias("fold"))
 
 
 def seeded_split(rows: DataFrame, key: str, first: float, seed: int) -> DataFrame:

@@ -6,22 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 64
+from .session import materialised
 
 
 def _bucketed(rows: DataFrame, order: str, descending: bool) -> DataFrame:
-    """Adds ``_b``, the number of approximate quantiles of ``order`` that precede a row, so buckets follow the order."""
-    cuts = F.array(*(F.lit(k / BUCKETS) for k in range(1, BUCKETS)))
-    bounds = rows.agg(F.percentile_approx(order, cuts, 1000).alias("_bounds"))
-    before = (lambda b: b > F.col(order)) if descending else (lambda b: b < F.col(order))
-    return rows.crossJoin(F.broadcast(bounds)).withColumn("_b", F.coalesce(F.size(F.filter("_bounds", before)), F.lit(0))).drop("_bounds")
+    """``rows`` with ``_b``, buckets that follow the order: range partitions, as many as the session's shuffles have, so
+    their number grows with the cluster. They are written once, so that every later step sees the same buckets."""
+    number = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.repartitionByRange(number, F.desc(order) if descending else F.asc(order))
+    return materialised(parts.withColumn("_b", F.spark_partition_id()))
 
 
 def running_totals(rows: DataFrame, order: str, values: dict[str, str], descending: bool = False, inclusive: bool = True) -> DataFrame:
     """``rows`` with, for each ``new: column`` of ``values``, the sum of the column over all rows up to this one.
 
-    ``order`` must be numeric and unique. Rows are split into buckets by approximate quantiles of ``order``; totals per
-    bucket (at most 64 rows) are accumulated and broadcast, and the rest is a window within each bucket.
+    ``order`` must be numeric and unique. Rows are split into buckets by ranges of ``order``; totals per bucket, one row
+    each, are accumulated and broadcast, and the rest is a window within each bucket.
     """
     parts = _bucketed(rows, order, descending)
     sums = parts.groupBy("_b").agg(*(F.sum(c).alias(f"_s_{new}") for new, c in values.items()))

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
+import site
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +34,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, where it isn't installed or on ``PYTHONPATH``; once per application."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parents[2]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]
+    if sc.applicationId in _SHIPPED or str(root) in {str(Path(p).resolve()) for p in known if p}:
+        return
+    _SHIPPED.add(sc.applicationId)
+    # the driver's own file, which it serves to the executors until it ends; no task reads or writes there
+    folder = tempfile.mkdtemp(prefix="rxweave-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.PyZipFile(f"{folder}/rxweave.zip", "w") as packed:
+        packed.writepy(str(root / "rxweave"))
+    sc.addPyFile(f"{folder}/rxweave.zip")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder: ``spark.checkpoint.dir`` where it is set.
 
@@ -86,7 +110,7 @@ def materialised(df: DataFrame) -> DataFrame:
     """``df`` written once as parquet to a fresh folder in the shared checkpoint folder, and read from there.
 
     Like a checkpoint it cuts the lineage and outlives executors; unlike one it is compressed, column-pruned when
-    read again, and gives the planner true sizes. The folders are removed when Python ends.
+    read again, and gives the planner true sizes. The folders are removed by ``release``, or when Python ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
@@ -95,8 +119,10 @@ def materialised(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove_written() -> None:
-    for spark, path in _WRITTEN:
+def release() -> None:
+    """Removes all intermediate tables written so far; call it once the results that rest on them have been read."""
+    written, _WRITTEN[:] = list(_WRITTEN), []
+    for spark, path in written:
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
@@ -105,4 +131,4 @@ def _remove_written() -> None:
             pass
 
 
-atexit.register(_remove_written)
+atexit.register(release)

@@ -299,15 +299,14 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Poisson-bootstrap intervals of the accuracy over 500 draws."""
-    rows = evals(spark, d).withColumn("key", F.concat_ws("|", "prescription_id", "run_name"))
-    out = M.bootstrap(rows, "key", F.col("gt_severity") == F.col("pred_severity"), 500, 7)
-    return out.select(*(r6(c).alias(c) for c in ("mean", "low", "high")))
+    """Bootstrap intervals of accuracy, macro F1 and binary F1 (any interaction or none) over 500 draws."""
+    out = M.bootstrap_classes(evals(spark, d), "gt_severity", "pred_severity", ["Mild", "Moderate", "Severe"], 500, 7)
+    return out.select("metric", *(r6(c).alias(c) for c in ("mean", "low", "high")))
 
 
 @query()
 def bootstrap_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Poisson-bootstrap interval of the accuracy gain of one run over the other on common prescriptions."""
+    """Bootstrap interval of the accuracy gain of one run over the other on common prescriptions, and the chance of a gain."""
     rows = evals(spark, d).groupBy("prescription_id").pivot("run_name", ["keyword_v1", "ensemble_v2"]).agg(F.max((F.col("gt_severity") == F.col("pred_severity")).cast("int"))).dropna()
-    out = M.bootstrap(rows, "prescription_id", F.col("ensemble_v2") - F.col("keyword_v1"), 500, 11)
-    return out.select(*(r6(c).alias(c) for c in ("mean", "low", "high")))
+    out = M.bootstrap(rows, F.col("ensemble_v2") - F.col("keyword_v1"), 500, 11)
+    return out.select(*(r6(c).alias(c) for c in ("mean", "low", "high")), r6("above").alias("p_better"))

@@ -48,7 +48,7 @@ def cue_sql(name: str, text: str = "description") -> str:
 
 
 MILD_SQL = f"""(regexp_matches(coalesce(description, ''), '(?i)gastrointestinal irritation') OR regexp_matches(coalesce(description, ''), '(?i)may decrease the (sedative|hypertensive)')
-    OR regexp_matches(coalesce(description, ''), '(?i)hypertension can be decreased') OR regexp_matches(coalesce(description, ''), '(?i)therapeutic efficacy of ({S.MINOR_AGENTS})\\b')
+    OR regexp_matches(coalesce(description, ''), '(?i)hypertension can be decreased') OR regexp_matches(coalesce(description, ''), '(?i){S.MILD_PATTERNS[3]}')
     OR ({cue_sql("excretion")} AND NOT {cue_sql("serum")}))"""
 
 

@@ -88,28 +88,35 @@ def ngram_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TOKENS}, keys AS (SELECT DISTINCT lower(drug_name) AS k FROM drug_reference), hits AS (SELECT DISTINCT prescription_id, array_to_string(words, ' ') AS name FROM grams WHERE array_to_string(words, ' ') IN (SELECT k FROM keys))
-SELECT prescription_id, name FROM hits"""
+    f"""WITH {TOKENS}, keys AS (SELECT DISTINCT lower(drug_name) AS k FROM drug_reference), hits AS (SELECT prescription_id, (i - 1)::INT AS at, n::INT AS n, array_to_string(words, ' ') AS name FROM grams WHERE array_to_string(words, ' ') IN (SELECT k FROM keys))
+SELECT prescription_id, at, n, name FROM hits"""
 )
 def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
     """Names of the drug list in each prescription text: word n-grams joined to the list, longest first, no overlaps."""
     rows = rx(spark, d).select("prescription_id", scan.tokens(F.col("prescription_text")).alias("ws"))
     keys = table(spark, d, "drug_reference").select(F.lower("drug_name").alias("key"))
-    return scan.dictionary(rows, "prescription_id", "ws", keys).select("prescription_id", F.col("key").alias("name")).distinct()
+    return scan.dictionary(rows, "prescription_id", "ws", keys).select("prescription_id", "at", "n", F.col("key").alias("name"))
 
 
-NER = {"DOSAGE": "\\b\\d+(\\.\\d+)?\\s*(mg|mcg|g|ml|tablets?|capsules?)\\b", "FREQUENCY": "\\b(once|twice|thrice|\\d+\\s*times?)\\s+(daily|per day|a day)\\b"}
+# Patterns of the fallback recogniser; only names mind the case. DuckDB's word boundaries know ASCII
+# letters only, so the statement puts a sign that it takes for a letter in place of all others; none is ever matched.
+NER = {
+    "MEDICATION": "\\b[A-Z][a-z]+(?:\\s+\\d+(?:mg|mcg|g|ml)?)?\\b",
+    "DOSAGE": "(?i)\\b\\d+(?:\\.\\d+)?\\s*(?:mg|mcg|g|ml|tablets?|capsules?)\\b",
+    "FREQUENCY": "(?i)\\b(?:once|twice|thrice|\\d+\\s*times?)\\s+(?:daily|per day|a day)\\b",
+}
 
 
 @query(
-    f"""WITH {RX}, m AS ({" UNION ALL ".join(f"SELECT prescription_id, '{k}' AS label, regexp_extract_all(prescription_text, '(?i){p}') AS found FROM rx" for k, p in NER.items())})
+    f"""WITH {RX}, m AS ({" UNION ALL ".join(f"SELECT prescription_id, '{k}' AS label, regexp_extract_all(regexp_replace(prescription_text, '[µªºÀ-ÖØ-öø-ʯЀ-ӿऀ-ॿ]', '_', 'g'), '{p}') AS found FROM rx" for k, p in NER.items())})
 SELECT prescription_id, label, pos::INT AS pos, found[pos + 1] AS text, 0.5::DOUBLE AS confidence FROM m, range(0, 200) r(pos) WHERE pos < len(found)"""
 )
 def regex_ner(spark: SparkSession, d: str) -> DataFrame:
-    """Doses and frequencies by pattern, with confidence 0.5."""
+    """Names, doses and frequencies by pattern, with confidence 0.5."""
     rows = rx(spark, d).select("prescription_id", "prescription_text")
-    parts = [rows.select("prescription_id", F.lit(k).alias("label"), F.posexplode(F.regexp_extract_all("prescription_text", F.lit(f"(?i){p}"), 0)).alias("pos", "text")) for k, p in NER.items()]
-    return parts[0].unionByName(parts[1]).withColumn("confidence", F.lit(0.5))
+    found = F.array(*(F.struct(F.lit(k).alias("label"), F.regexp_extract_all("prescription_text", F.lit(p), 0).alias("texts")) for k, p in NER.items()))
+    each = rows.where("prescription_text is not null").select("prescription_id", F.explode(found).alias("f"))
+    return each.select("prescription_id", "f.label", F.posexplode("f.texts").alias("pos", "text")).withColumn("confidence", F.lit(0.5))
 
 
 @query(
@@ -300,40 +307,56 @@ def english_word_exclusion(spark: SparkSession, d: str) -> DataFrame:
     return single.select("prescription_id", "n", "at", F.array_join("words", " ").alias("candidate")).distinct()
 
 
-NOISE_ITEMS = f"{RX}, base AS (SELECT prescription_id, prescription_text AS text, drugs FROM rx WHERE prescription_text IS NOT NULL)"
+BLANK_SQL = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+NOISE_ITEMS = f"""{RX}, base AS (SELECT prescription_id, prescription_text AS text,
+    list_sort(list_distinct(list_transform(list_filter(coalesce(drugs, []), lambda x: x <> ''), lambda x: printf('%06d', 100000 - len(x)) || lower(x)))) AS keyed FROM rx WHERE prescription_text IS NOT NULL),
+named AS (SELECT prescription_id, text, list_transform(keyed, lambda x: x[7:]) AS names FROM base)"""
+L2_SQL = f"""replace(replace(regexp_replace(list_reduce(list_prepend(lower(text), names), lambda t, s: regexp_replace(t, regexp_escape(s) || '{BLANK_SQL}+([0-9])', s || '\\1', 'g')),
+    '([a-z]){BLANK_SQL}+(\\d+{BLANK_SQL}*(mg|mcg|g|ml|iu)\\b)', '\\1\\2', 'g'), 'daily', 'daiIy'), 'vitamin', 'v1tam1n')"""
 
 
-@query(f"WITH {NOISE_ITEMS} SELECT prescription_id, replace(replace(lower(text), 'daily', 'daiIy'), 'vitamin', 'v1tam1n') AS text FROM (SELECT prescription_id, regexp_replace(lower(text), '([a-z])[ \\t]+(\\d+\\s*(mg|mcg|g|ml|iu)\\b)', '\\1\\2', 'g') AS text FROM base)")
+@query(f"WITH {NOISE_ITEMS} SELECT prescription_id, {L2_SQL} AS text FROM named")
 def noise_l2(spark: SparkSession, d: str) -> DataFrame:
-    """Lower case, doses glued to the word before, two scanner confusions."""
-    return rx(spark, d).where("prescription_text is not null").select("prescription_id", scan.noise_glued(F.col("prescription_text")).alias("text"))
+    """Lower case, doses glued to the prescription's names and to any word before, two scanner confusions."""
+    return rx(spark, d).where("prescription_text is not null").select("prescription_id", scan.noise_glued(F.col("prescription_text"), F.col("drugs")).alias("text"))
 
 
+# Spoken openings.
 PREFIXES = ("bukhar ke liye ", "dard ke liye ", "doctor ne likha hai: ", "bukhar aur dard ke liye ")
 PREFIX_SQL = f"[{', '.join(repr(p) for p in PREFIXES)}][('0x' || substr(md5(prescription_id::VARCHAR), 1, 8))::BIGINT % 4 + 1]"
+L3_TABLES = f"""{NOISE_ITEMS}, whole AS (SELECT prescription_id, names, {PREFIX_SQL} || regexp_replace(text, '\\s*\\b\\d+(\\.\\d+)?\\s*(mg|mcg|µg|ug|g|ml|iu|units?|%)\\b', '', 'gi') AS text FROM named),
+lines AS (SELECT prescription_id, k, ls[k] AS line, coalesce(list_max(list_transform(names, lambda s: CASE WHEN contains(lower(ls[k]), s) THEN strpos(lower(ls[k]), s) - 1 + len(s) ELSE 0 END)), 0) AS e
+    FROM (SELECT prescription_id, names, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT prescription_id, names, string_split(text, chr(10)) AS ls FROM whole))),
+tails AS (SELECT *, list_filter(string_split_regex(line[e + 1:], '{BLANK_SQL}+'), lambda w: w <> '') AS tail FROM lines),
+cut AS (SELECT prescription_id, string_agg(CASE WHEN len(tail) > 3 THEN line[1:e] || array_to_string(tail[1:3], ' ') || ' ...' ELSE line END, chr(10) ORDER BY k) AS cut FROM tails GROUP BY 1),
+l3 AS (SELECT prescription_id, CASE WHEN len(list_filter(names, lambda s: NOT contains(lower(cut), s))) > 0 THEN text ELSE cut END AS text FROM whole JOIN cut USING (prescription_id))"""
 
 
-@query(f"WITH {NOISE_ITEMS} SELECT prescription_id, {PREFIX_SQL} || regexp_replace(text, '\\s*\\b\\d+(\\.\\d+)?\\s*(mg|mcg|µg|ug|g|ml|iu|units?|%)', '', 'gi') AS text FROM base")
+@query(f"WITH {L3_TABLES} SELECT prescription_id, text FROM l3")
 def noise_l3(spark: SparkSession, d: str) -> DataFrame:
-    """A spoken opening, chosen by the id's hash, and all doses dropped."""
-    return rx(spark, d).where("prescription_text is not null").select("prescription_id", scan.noise_dropped(F.col("prescription_id"), F.col("prescription_text"), PREFIXES).alias("text"))
+    """A spoken opening, chosen by the id's hash, all doses dropped, and lines cut three words behind their last name."""
+    rows = rx(spark, d).where("prescription_text is not null")
+    return rows.select("prescription_id", scan.noise_dropped(F.col("prescription_id"), F.col("prescription_text"), F.col("drugs"), PREFIXES).alias("text"))
 
 
-@query(
-    f"""WITH {NOISE_ITEMS}, sites AS (SELECT prescription_id, i AS place FROM base, range(1, 3000) r(i) WHERE i <= len(text) AND substr(text, i, 1) IN ('e', '0')),
-pick AS (SELECT prescription_id, place FROM sites QUALIFY row_number() OVER (PARTITION BY prescription_id ORDER BY md5(prescription_id || '|' || place), place) <= 2),
-two AS (SELECT prescription_id, min(place) AS a, max(place) AS b FROM pick GROUP BY 1)
-SELECT prescription_id, CASE WHEN a IS NULL THEN text ELSE substr(t1, 1, b - 1) || CASE substr(t1, b, 1) WHEN 'e' THEN 'c' WHEN '0' THEN 'O' ELSE substr(t1, b, 1) END || substr(t1, b + 1) END AS text
-FROM (SELECT base.prescription_id, text, a, b, substr(text, 1, a - 1) || CASE substr(text, a, 1) WHEN 'e' THEN 'c' ELSE 'O' END || substr(text, a + 1) AS t1 FROM base LEFT JOIN two USING (prescription_id))"""
-)
+L1_TABLES = f"""{RX}, base AS (SELECT prescription_id, prescription_text AS text FROM rx WHERE prescription_text IS NOT NULL),
+sites AS (SELECT prescription_id, i AS place, CASE WHEN substr(text, i, 2) = 'rn' THEN 2 ELSE 1 END AS n, CASE WHEN substr(text, i, 2) = 'rn' THEN 'm' WHEN substr(text, i, 1) = 'e' THEN 'c' ELSE 'O' END AS r
+    FROM base, range(1, 3000) q(i) WHERE i <= len(text) AND (substr(text, i, 1) IN ('e', '0') OR substr(text, i, 2) = 'rn')),
+pick AS (SELECT * FROM sites QUALIFY row_number() OVER (PARTITION BY prescription_id ORDER BY md5(prescription_id || '|' || place), place) <= 2),
+ends AS (SELECT prescription_id, min_by(r, place) AS r1, min(place) AS p1, min_by(n, place) AS n1, max_by(r, place) AS r2, max(place) AS p2, max_by(n, place) AS n2 FROM pick GROUP BY 1),
+l1 AS (SELECT prescription_id, CASE WHEN p1 IS NULL THEN text WHEN p1 = p2 THEN substr(text, 1, p1 - 1) || r1 || substr(text, p1 + n1)
+    ELSE substr(text, 1, p1 - 1) || r1 || substr(text, p1 + n1, p2 - p1 - n1) || r2 || substr(text, p2 + n2) END AS text FROM base LEFT JOIN ends USING (prescription_id))"""
+
+
+@query(f"WITH {L1_TABLES} SELECT prescription_id, text FROM l1")
 def noise_l1(spark: SparkSession, d: str) -> DataFrame:
-    """Up to two single-letter confusions (e to c, 0 to O) at places chosen by hash."""
+    """Up to two confusions (e to c, rn to m, 0 to O) at places chosen by hash."""
     return rx(spark, d).where("prescription_text is not null").select("prescription_id", scan.noise_letters(F.col("prescription_id"), F.col("prescription_text")).alias("text"))
 
 
 @query(
-    f"""WITH {NOISE_ITEMS} SELECT 'L2' AS level, prescription_id, len(replace(replace(regexp_replace(lower(text), '([a-z])[ \\t]+(\\d+\\s*(mg|mcg|g|ml|iu)\\b)', '\\1\\2', 'g'), 'daily', 'daiIy'), 'vitamin', 'v1tam1n'))::INT AS chars FROM base
-UNION ALL SELECT 'L3', prescription_id, len({PREFIX_SQL} || regexp_replace(text, '\\s*\\b\\d+(\\.\\d+)?\\s*(mg|mcg|µg|ug|g|ml|iu|units?|%)', '', 'gi'))::INT FROM base UNION ALL SELECT 'L1', prescription_id, len(text)::INT FROM base"""
+    f"""WITH {L3_TABLES}, {L1_TABLES.split("base AS", 1)[1].split("),", 1)[1].strip().replace("base", "named")}
+SELECT 'L2' AS level, prescription_id, len({L2_SQL})::INT AS chars FROM named UNION ALL SELECT 'L3', prescription_id, len(text)::INT FROM l3 UNION ALL SELECT 'L1', prescription_id, len(text)::INT FROM l1"""
 )
 def noise_union(spark: SparkSession, d: str) -> DataFrame:
     """All three levels of noise as one table."""
@@ -344,8 +367,9 @@ def noise_union(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {RX}, brands AS (SELECT lower(drug_name) AS g, brand_names[1] AS brand FROM drug_reference WHERE len(brand_names) > 0),
 it AS (SELECT prescription_id, lower({strip_sql("drug")}) AS g, min(ord) AS ord FROM (SELECT prescription_id, unnest(drugs) AS drug, unnest(range(len(drugs))) AS ord FROM rx) WHERE drug IS NOT NULL GROUP BY ALL),
-subs AS (SELECT prescription_id, count(*) AS substituted FROM it JOIN brands USING (g) GROUP BY 1) SELECT prescription_id, coalesce(substituted, 0) AS substituted FROM rx LEFT JOIN subs USING (prescription_id)"""
+subs AS (SELECT prescription_id, count(*) AS substituted, list_sort(list(printf('%06d', 100000 - len(g)) || g || chr(1) || brand)) AS subs FROM it JOIN brands USING (g) GROUP BY 1)
+SELECT prescription_id, coalesce(substituted, 0) AS substituted, list_reduce(list_prepend(prescription_text, coalesce(subs, [])), lambda t, s: regexp_replace(t, '(?i)\\b' || regexp_escape(split_part(s[7:], chr(1), 1)) || '([^A-Za-z]|$)', split_part(s, chr(1), 2) || '\\1', 'g')) AS text FROM rx LEFT JOIN subs USING (prescription_id)"""
 )
 def brand_substitute(spark: SparkSession, d: str) -> DataFrame:
-    """How many names of a prescription have a brand; the texts with the brands put in are tested by brute force."""
-    return scan.brand_texts(rx(spark, d), table(spark, d, "drug_reference")).select("prescription_id", "substituted")
+    """Prescription texts with the first brand in place of every name that has one, and how many names were."""
+    return scan.brand_texts(rx(spark, d), table(spark, d, "drug_reference")).select("prescription_id", "substituted", "text")

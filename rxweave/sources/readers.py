@@ -17,10 +17,10 @@ def ragged(lines: DataFrame, line: str, columns: list[str], separator: str = "\t
 
 def read_ragged_tsv(spark: SparkSession, path: str) -> DataFrame:
     """A TSV file with a header line; quotes are plain text. An empty file gives no columns."""
-    lines = spark.read.text(path)
-    head = lines.limit(1).first()
+    lines = spark.read.text(path).withColumn("_n", F.monotonically_increasing_id())
+    head = lines.where("_n = 0").first()
     columns = head.value.rstrip("\t").split("\t") if head else []
-    return ragged(lines.where(F.col("value") != (head.value if head else "")), "value", columns) if columns else lines.limit(0).select()
+    return ragged(lines.where("_n > 0"), "value", columns) if columns else lines.limit(0).select()
 
 
 def read_csv(spark: SparkSession, path: str, required: str | None = None) -> DataFrame:

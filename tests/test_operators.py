@@ -71,8 +71,30 @@ def test_auc_against_all_pairs(spark):
 
 def test_bootstrap_interval_holds_the_mean(spark):
     data = spark.range(400).select("id", (F.col("id") % 4 != 0).alias("hit"))
-    got = M.bootstrap(data, "id", F.col("hit"), 200, 1).first()
-    assert 0.68 < got.low < 0.75 < got.high < 0.82 and got["mean"] == pytest.approx(0.75, abs=0.01)
+    got = M.bootstrap(data, F.col("hit"), 500, 1).first()
+    assert 0.68 < got.low < 0.75 < got.high < 0.82 and got["mean"] == pytest.approx(0.75, abs=0.01) and got.above == 1
+    assert got == M.bootstrap(data.repartition(3), F.col("hit"), 500, 1).first()
+    assert M.bootstrap(data.limit(0), F.col("hit"), 10, 1).count() == 0
+
+
+def test_class_bootstrap_against_resampled_rows(spark):
+    rng = np.random.default_rng(4)
+    truth = rng.choice(["a", "b", "c"], 200)
+    found = np.where(rng.random(200) < 0.7, truth, rng.choice(["a", "b", "c"], 200))
+    df = spark.createDataFrame(list(zip(truth.tolist(), found.tolist())) + [("a", None)], "t string, f string")
+    got = {r.metric: (r["mean"], r.low, r.high) for r in M.bootstrap_classes(df, "t", "f", ["b", "c"], 2000, 3).collect()}
+
+    def f1(t, f):
+        return 2 * (t & f).sum() / max(1, t.sum() + f.sum())
+
+    draws = []
+    for _ in range(2000):
+        at = rng.integers(0, 200, 200)
+        t, f = truth[at], found[at]
+        draws.append(((t == f).mean(), np.mean([f1(t == x, f == x) for x in "abc"]), f1(t != "a", f != "a")))
+    for k, name in enumerate(("accuracy", "macro_f1", "binary_f1")):
+        v = np.array(draws)[:, k]
+        assert got[name] == pytest.approx((v.mean(), *np.percentile(v, [2.5, 97.5])), abs=0.012)
 
 
 @pytest.mark.parametrize("descending", [False, True])
@@ -92,6 +114,19 @@ def test_dictionary_takes_the_longest_first_and_never_overlaps(spark):
     texts = spark.createDataFrame([(1, "a b c a"), (2, ""), (3, None)], "k int, t string").select("k", scan.tokens(F.col("t")).alias("ws"))
     keys = spark.createDataFrame([("a b",), ("b c",), ("a",), ("a",), ("c",)], "key string")
     assert rows(scan.dictionary(texts, "k", "ws", keys).select("k", "at", "key")) == [(1, 0, "a b"), (1, 2, "c"), (1, 3, "a")]
+    longer = keys.unionByName(spark.createDataFrame([("a b c a",)], "key string"))
+    assert rows(scan.dictionary(texts, "k", "ws", longer).select("k", "at", "key")) == [(1, 0, "a b c a")]
+
+
+def test_noise_keeps_names_and_cuts_lines(spark):
+    text = "Tab. Abc 5 mg, to be taken daily with a lot of water\nplain words of a line\n10 gram Modern"
+    df = spark.createDataFrame([(1, text, ["abc", "Abc", "", None]), (2, text, ["of a", "abc"]), (3, "fern 0 e", None)], "k int, t string, names array<string>")
+    got = {r.k: (r.a, r.b, r.c) for r in df.select("k", scan.noise_dropped(F.col("k"), F.col("t"), F.col("names"), ("x ",)).alias("a"), scan.noise_glued(F.col("t"), F.col("names")).alias("b"), scan.noise_letters(F.col("k"), F.col("t")).alias("c")).collect()}
+    assert got[1][0] == "x Tab. Abc, to be ...\nplain words of ...\n10 gram Modern"
+    assert got[1][1].startswith("tab. abc5 mg, to be taken daiIy")
+    assert got[3][2] in {"fcm 0 e", "fcrn O e", "fcrn 0 c", "fem O e", "fem 0 c", "fern O c"}
+    dosed = spark.createDataFrame([("a 5 mg b 7.5mg 10 gram",)], "t string").select(F.regexp_replace("t", f"(?i){scan.STRENGTH}", "").alias("t")).first().t
+    assert dosed == "a b 10 gram"
 
 
 def test_combination_splits_need_a_known_stem(spark):
@@ -102,10 +137,10 @@ def test_combination_splits_need_a_known_stem(spark):
 
 
 def test_brand_texts(spark):
-    rx = spark.createDataFrame([(1, "Simvastatin20mg and simvastatina, Warf", ["simvastatin", "WARF", None]), (2, "nothing", None)], "prescription_id int, prescription_text string, drugs array<string>")
-    reference = spark.createDataFrame([("Simvastatin", ["Simvotin"]), ("warf", ["Warfex", "W"]), ("other", None)], "drug_name string, brand_names array<string>")
+    rx = spark.createDataFrame([(1, "Simvastatin20mg and simvastatina, Warf", ["simvastatin", "WARF", None]), (2, "nothing", None), (3, "take a(b now", ["A(B"])], "prescription_id int, prescription_text string, drugs array<string>")
+    reference = spark.createDataFrame([("Simvastatin", ["Simvotin"]), ("a(b", ["$1\\\\x"]), ("warf", ["Warfex", "W"]), ("other", None)], "drug_name string, brand_names array<string>")
     got = {r.prescription_id: (r.substituted, r.text) for r in scan.brand_texts(rx, reference).collect()}
-    assert got == {1: (2, "Simvotin20mg and simvastatina, Warfex"), 2: (0, "nothing")}
+    assert got == {1: (2, "Simvotin20mg and simvastatina, Warfex"), 2: (0, "nothing"), 3: (1, "take $1\\\\x now")}
 
 
 def test_vote_prefers_longer_lists_among_contenders(spark):
