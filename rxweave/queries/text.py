@@ -88,8 +88,8 @@ def ngram_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TOKENS}, keys AS (SELECT DISTINCT lower(drug_name) AS k FROM drug_reference), hits AS (SELECT prescription_id, (i - 1)::INT AS at, n::INT AS n, array_to_string(words, ' ') AS name FROM grams WHERE array_to_string(words, ' ') IN (SELECT k FROM keys))
-SELECT prescription_id, at, n, name FROM hits"""
+    f"""WITH {TOKENS}, keys AS (SELECT DISTINCT lower(drug_name) AS k FROM drug_reference), hits AS (SELECT prescription_id, (i - 1)::INT AS "at", n::INT AS n, array_to_string(words, ' ') AS name FROM grams WHERE array_to_string(words, ' ') IN (SELECT k FROM keys))
+SELECT prescription_id, "at", n, name FROM hits"""
 )
 def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
     """Names of the drug list in each prescription text: word n-grams joined to the list, longest first, no overlaps."""
