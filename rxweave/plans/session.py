@@ -116,13 +116,25 @@ def materialised(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Removes one table of ``materialised``, the DataFrame itself, that nothing will read again."""
+    path = getattr(made, "_written_to", None)
+    _remove([entry for entry in _WRITTEN if entry[1] == path])
 
 
 def release() -> None:
     """Removes all intermediate tables written so far; call it once the results that rest on them have been read."""
-    written, _WRITTEN[:] = list(_WRITTEN), []
-    for spark, path in written:
+    _remove(list(_WRITTEN))
+
+
+def _remove(entries: list[tuple[SparkSession, str]]) -> None:
+    _WRITTEN[:] = [entry for entry in _WRITTEN if entry not in entries]
+    for spark, path in entries:
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)

@@ -32,3 +32,17 @@ def test_top_k_is_cut_before_the_shuffle(spark, data):
 
 def test_checkpoint_folder_is_set(spark):
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
+
+
+def test_intermediate_tables_are_removed(spark):
+    import os
+
+    from rxweave.plans import session
+
+    one, two = session.materialised(spark.range(5)), session.materialised(spark.range(7))
+    paths = [df._written_to for df in (one, two)]
+    session.discard(one)
+    assert not os.path.exists(paths[0]) and two.count() == 7
+    session.discard(spark.range(3))
+    session.release()
+    assert not os.path.exists(paths[1])
