@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import materialised
+from ..plans.session import discard, materialised
 
 LABELS = ("Mild", "Moderate", "Severe")
 #: Annotators up to which their matrices are broadcast; beyond it they are joined to the votes in every round.
@@ -258,9 +258,12 @@ def fit(votes: DataFrame, labels: tuple[str, ...] = LABELS, rounds: int = 40, an
     item_type = dict(out.state.dtypes)["item"]
     schema = f"item {item_type}, votes array<struct<who: bigint, given: int, times: double>>, tilt array<double>, who bigint, x array<double>"
     width = c * c + c * c * c + 2
+    last = out.state
     for _ in range(rounds):
         votes_with, shared = _with_matrices(out.state, out.annotators, number)
         made = materialised(votes_with.mapInArrow(_round(shared, out.prior, item_penalty, turns), schema))
+        discard(last)  # the matrices of the round before
+        last = made
         state = made.where("who is null").select("item", "votes", "tilt")
         sums = made.where("who is not null").groupBy("who").agg(F.array(*(F.sum(F.try_element_at("x", F.lit(k + 1))) for k in range(width))).alias("x"))
         whole = sums.where("who = -1").first()["x"]
