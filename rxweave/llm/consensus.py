@@ -234,7 +234,7 @@ def _with_matrices(state: DataFrame, annotators: DataFrame | None, number: int):
     return joined.groupBy("item").agg(F.collect_list(F.struct("who", "given", "times", F.col("own").alias("tilt"))).alias("votes"), F.any_value("tilt").alias("tilt")), None
 
 
-def fit(votes: DataFrame, labels: tuple[str, ...] = LABELS, rounds: int = 40, annotator_penalty: float = 1.0, item_penalty: float = 3.0, turns: int = 2, tolerance: float = 1e-5, label_shares: bool = False) -> Fit:
+def fit(votes: DataFrame, labels: tuple[str, ...] = LABELS, rounds: int = 40, annotator_penalty: float = 1.0, item_penalty: float = 10.0, turns: int = 2, tolerance: float = 1e-5, label_shares: bool = False) -> Fit:
     """Climbs the dual until a round gains less than ``tolerance`` per vote, for ``rounds`` rounds at most; see ``consensus``."""
     c = len(labels)
     code = F.coalesce(*(F.when(F.col("label") == x, F.lit(k)) for k, x in enumerate(labels)))
