@@ -136,6 +136,22 @@ def blocked_weighted(left: DataFrame, right: DataFrame, least: float = 75.0) ->
     return by_letters.unionByName(by_token).unionByName(tiny).distinct()
 
 
+def blocked_alike(left: DataFrame, right: DataFrame, least_ratio: float) -> DataFrame:
+    """``l, r``: all pairs whose gestalt or indel ratio can reach ``least_ratio`` (above 0.8); both sides distinct.
+
+    Such a pair leaves room for ``(1 - t) * (len(l) + len(r))`` edits. A letter taken out breaks up two letter pairs of
+    its own text, and one put in only one; so few edits always leave a letter pair in common. The letter pairs of both
+    texts are held against each other as 64-bit maps where they meet, so that only what is kept is shuffled.
+    """
+    bits = F.expr("aggregate(_p, 0L, (m, g) -> m | shiftleft(1L, cast(pmod(xxhash64(g), 64) as int)))")
+    side = lambda rows, name, m: rows.select(name, _letter_pairs(F.col(name)).alias("_p")).select(name, bits.alias(m), F.explode("_p").alias("_g"))
+    length, longer = F.length("l") + F.length("r"), F.length("l") - F.length("r")
+    edits = F.floor((1 - least_ratio) * length + 1e-9)
+    alone = lambda x, y: 2 * F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    near = (2 * F.least(F.length("l"), F.length("r")) >= least_ratio * length - 1e-9) & (alone("_ml", "_mr") <= 3 * edits + longer) & (alone("_mr", "_ml") <= 3 * edits - longer)
+    return spread(side(left, "l", "_ml"), "_g").join(spread(side(right, "r", "_mr"), "_g"), "_g").where(near).select("l", "r").distinct()
+
+
 def cosines(queries: DataFrame, corpus: DataFrame, block: int = 1024) -> DataFrame:
     """``q, <corpus columns>, score`` for every query and every vector of the corpus, which is a stated query set against all rows.
 
